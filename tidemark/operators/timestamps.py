@@ -198,32 +198,22 @@ def choose(df: DataFrame, source: list[str], order: str, block_rows: int = 20_00
     seg = F.when(F.col("_o") >= F.col("_first"), F.col("_b")).otherwise(F.col("_to"))
     parts = placed.withColumn("_seg", F.explode(F.when(F.col("_o") == F.col("_first"), F.array("_b", "_to")).otherwise(F.array(seg)))).select(*s, "_seg", "_o", "cands", "_pin")
     w = Window.partitionBy(*s, "_seg").orderBy("_o")
-    runs = (
-        parts.withColumns({"_near": ~F.col("_pin") | ~F.coalesce(F.lag("_pin").over(w), F.lit(True)) | ~F.coalesce(F.lead("_pin").over(w), F.lit(True)), "_run": F.sum(F.col("_pin").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-        .where("_near")
-    )
-    # A pin closes the run before it and opens the next one.
-    runs = runs.withColumn("_run", F.explode(F.when(F.col("_pin"), F.array(F.col("_run") - 1, F.col("_run"))).otherwise(F.array("_run"))))
+    # Pins beside a run hold its ends; pins further off would add the same cost to every path.
+    near = ~F.col("_pin") | ~F.coalesce(F.lag("_pin").over(w), F.lit(True)) | ~F.coalesce(F.lead("_pin").over(w), F.lit(True))
+    runs = parts.withColumn("_near", near).where("_near")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_o")
-        if pdf["_pin"].all():
-            return pdf.iloc[:0][["_o"]].assign(_i=pd.Series(dtype="int32"))
         chain = [[(c["fmt"], c["us"]) for c in cands] for cands in pdf["cands"]]
-        return pd.DataFrame({"_o": pdf["_o"], "_i": viterbi(chain, switch, back)})[~pdf["_pin"].to_numpy()]
+        return pdf[[*s, "_o"]].assign(_i=viterbi(chain, switch, back))[~pdf["_pin"]]
 
-    solved = runs.groupBy(*s, "_seg", "_run").applyInPandas(lambda pdf: _with_source(solve(pdf), pdf, s), ", ".join(f"{c} string" for c in s) + ", _o long, _i int")
+    schema = T.StructType([*[T.StructField(k, df.schema[c].dataType) for c, k in zip(source, s, strict=True)], T.StructField("_o", T.LongType()), T.StructField("_i", T.IntegerType())])
+    solved = runs.select(*s, "_seg", "_o", "cands", "_pin").groupBy(*s, "_seg").applyInPandas(solve, schema)
     open_rows = df.where(n > 1).withColumns({f"_s{i}": F.col(c) for i, c in enumerate(source)} | {"_o": F.col(order)})
     chosen = open_rows.join(solved, [*s, "_o"]).withColumn("pick", F.get("cands", F.col("_i"))).drop("_o", "_i", *s)
     return settled.unionByName(chosen)
 
 
-def _with_source(out: pd.DataFrame, pdf: pd.DataFrame, s: list[str]) -> pd.DataFrame:
-    for i, c in enumerate(s):
-        out.insert(i, c, pdf[c].iloc[0] if len(pdf) else None)
-    return out
-
-
 def normalised_text(pick: Column) -> Column:
     """The chosen reading as an ISO instant in UTC, or the reason why there is none."""
     t = F.date_format(F.timestamp_micros(pick["us"]), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

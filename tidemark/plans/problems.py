@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.keys import fingerprint, norm_key, number_text
 from tidemark.operators import asof, features, snapshots, timestamps
 from tidemark.plans import registry
-from tidemark.session import table
+from tidemark.session import cut, table
 
 R = registry.new()
 
@@ -90,7 +90,8 @@ def read_timestamps(spark: SparkSession, sf: str) -> DataFrame:
     # The day comes first where no clock is given; a clock the table does not know leaves it open.
     first = F.when(F.col("clock").isNull(), True).otherwise(F.col("day_first"))
     rows = rows.select("source_table", "record_key", "field_name", "source", timestamps.read_text("text", zone, first, "offset_minutes").alias("cands"))
-    return timestamps.choose(rows, ["source_table", "field_name", "source"], "record_key")
+    # The readings are used three times below; Python parses each text once.
+    return timestamps.choose(cut(rows), ["source_table", "field_name", "source"], "record_key")
 
 
 @R.query("p2_found")
