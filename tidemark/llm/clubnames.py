@@ -22,8 +22,8 @@ OTHER_SIDE = re.compile(
     r"\b(u ?\d\d|under ?\d\d|ii|iii|2|3|b|c2|w|women|womens|ladies|fem|feminin|feminine|feminines|femenino|femenina|frauen|damen|girls|"
     r"youth|academy|reserves?|reserve|res|juniors?|junioren|jugend|juvenil|cantera|espoirs|filial|amateure|development|dev|next gen|sub ?\d\d|a-?jugend|colts)\b"
 )
-#: Country codes that texts add in brackets.
-COUNTRY_CODES = {"ald", "vmr", "kdm", "olm"}
+#: A country code or a match note that a text adds in brackets at its end.
+BRACKETED = re.compile(r"[\[(]([a-z]{3}|n)[\])]\W*$")
 
 PARSED = T.StructType([T.StructField("town", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("other", T.BooleanType())])
 
@@ -38,6 +38,7 @@ def squash(s: str) -> str:
 def parse_name(text: str | None) -> tuple[str, list[str], bool]:
     """(town letters, club words in any short form, names another side) of a typed name."""
     s = fold(text or "").replace("'", "").replace("’", "").replace(".", "").replace("…", " ")
+    s = BRACKETED.sub(" ", s)
     s = re.sub(r"(?<=[a-z])-(?=[a-z])", "~", s)
     s = re.sub(r"[^a-z0-9~]+", " ", s).strip()
     other = bool(OTHER_SIDE.search(s.replace("~", " ")))
@@ -45,14 +46,15 @@ def parse_name(text: str | None) -> tuple[str, list[str], bool]:
     for chunk in s.split():
         parts = chunk.split("~")
         # A hyphen joins name parts, or is a slip inside one word.
-        joined = len(parts) > 1 and not any(_is_club_word(p) or p in NOISE_WORDS for p in parts)
+        joined = len(parts) > 1 and not any(p in CLUB_WORDS or p in NOISE_WORDS or (_is_club_word(p) and i in (0, len(parts) - 1) and max(map(len, parts)) > 7) for i, p in enumerate(parts))
         for w in ["".join(parts)] if joined else parts:
-            if w in NOISE_WORDS or w in COUNTRY_CODES or not w:
+            if w in NOISE_WORDS or not w:
                 continue
             (words if _is_club_word(w) else rest).append(w)
     if not rest and words:
         rest, words = words, []
-    return squash("".join(rest)), words, other
+    town = "".join(rest)
+    return (squash(town) if len(town) > 3 else town), words, other
 
 
 def _is_club_word(w: str) -> bool:
