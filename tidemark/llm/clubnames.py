@@ -53,8 +53,7 @@ def parse_name(text: str | None) -> tuple[str, list[str], bool]:
             (words if _is_club_word(w) else rest).append(w)
     if not rest and words:
         rest, words = words, []
-    town = "".join(rest)
-    return (squash(town) if len(town) > 3 else town), words, other
+    return "".join(rest), words, other
 
 
 def _is_club_word(w: str) -> bool:
@@ -69,6 +68,13 @@ def parse_names(names: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def town_distance(typed: str, town: str) -> tuple[int, int] | None:
     """(0 whole / 1 cut short, edits) if the letters may be the town's, else None."""
+    plain = _town_distance(typed, town)
+    if plain == (0, 0) or (squash(typed) == typed and squash(town) == town):
+        return plain
+    return min((d for d in (plain, _town_distance(squash(typed), squash(town))) if d is not None), default=None)
+
+
+def _town_distance(typed: str, town: str) -> tuple[int, int] | None:
     n = len(typed)
     most = 2 if n >= 8 else 1 if n >= 5 else 0
     d = damerau(typed, town, most)
@@ -109,7 +115,7 @@ def club_aliases(clubs: DataFrame) -> DataFrame:
     """Per club its town and its short title as texts to match: alias_id, club_id, alias, is_code, club_words, competition."""
     town = clubs.select("club_id", parse_names("town").alias("t"), parse_names("club_name").alias("n"), F.lower("short_title").alias("code"), F.lower(F.trim("competition")).alias("club_competition"))
     words = F.col("n.words")
-    names = town.select("club_id", F.concat("t.town", F.array_join("t.words", "")).alias("alias"), F.lit(False).alias("is_code"), words.alias("club_words"), "club_competition")
+    names = town.select("club_id", F.col("t.town").alias("alias"), F.lit(False).alias("is_code"), words.alias("club_words"), "club_competition")
     codes = town.where("code is not null").select("club_id", F.col("code").alias("alias"), F.lit(True).alias("is_code"), words.alias("club_words"), "club_competition")
     return names.unionByName(codes).withColumn("alias_id", F.concat_ws(":", "club_id", F.col("is_code").cast("string")))
 
