@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,18 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write df once to the shared checkpoint folder and go on from the files."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the Python workers of every executor, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    # The driver serves the archive; executors keep their own copy.
+    context.addPyFile(str(archive))
+    context._tidemark_shipped = True
