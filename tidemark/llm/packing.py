@@ -142,7 +142,7 @@ def pack(documents: DataFrame, capacity: int, shards: int) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     in_shard = items.select("shard", F.explode(words).alias("term")).groupBy("shard", "term").agg(F.count(F.lit(1)).alias("n"))
     df = in_shard.groupBy("term").agg(F.sum("n").alias("df"))
-    terms = in_shard.select("shard", "term").join(df, "term")
+    terms = in_shard.join(df, "term").select(F.col("shard").alias("of_shard"), "term", "df")
     totals = items.agg(F.struct(F.count(F.lit(1)).alias("docs"), F.avg(F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("mean_len"))).scalar()
     rest = rest.select("shard", "doc_id", "piece", "size", "text", totals["docs"].alias("n_docs"), F.coalesce(totals["mean_len"], F.lit(1.0)).alias("mean_len"))
 
@@ -161,7 +161,7 @@ def pack(documents: DataFrame, capacity: int, shards: int) -> DataFrame:
         out += [(d, 0, f"s{key[0]}:0", first + p, 0) for p, d in enumerate(empty["doc_id"])]
         return pd.DataFrame(out, columns=[f.name for f in PACKED.fields])
 
-    packed = rest.groupBy("shard").cogroup(terms.groupBy("shard")).applyInPandas(run, PACKED)
+    packed = rest.groupBy("shard").cogroup(terms.groupBy("of_shard")).applyInPandas(run, PACKED)
     return packed.unionByName(whole)
 
 
