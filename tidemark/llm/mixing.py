@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.keys import norm_key
+from tidemark.session import cut
 
 #: Languages that count by name; the rest and NULL are one class.
 LANGUAGES = ["en", "fr", "de", "es"]
@@ -93,32 +94,42 @@ def with_cells(documents: DataFrame) -> DataFrame:
     )
 
 
+#: Starting points tried per block for the systematic draw.
+STARTS = 32
+
+
 def mix(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """doc_id, source, tokens, copies: how often each document enters the mixture (0: not at all).
 
-    Within a cell the documents of a block are sorted by size and taken at even
-    steps, so the tokens drawn stay within one document of the plan per block.
-    Documents of sources without target, or without tokens, enter 0 times.
+    Each block of a source is sorted by size and drawn at even steps of the
+    planned copies, from the starting point that comes closest to the planned
+    tokens.  Documents of sources without target, or without tokens, enter 0
+    times.
     """
     docs = with_cells(documents)
     goals = targets.select(norm_key(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").cast("int").alias("max_repeats"))
     # Cells: sources of the target list x languages x competitions, a few hundred rows.
-    cells = docs.groupBy(*DIMS).agg(F.sum("tokens").cast("double").alias("tokens"), F.count(F.lit(1)).alias("rows")).join(F.broadcast(goals), "source")
+    cells = cut(docs.groupBy(*DIMS).agg(F.sum("tokens").cast("double").alias("tokens"), F.count(F.lit(1)).alias("rows")).join(F.broadcast(goals), "source"))
     planned = cells.groupBy().applyInPandas(lambda pdf: plan_cells(pdf), CELL)
-    sizes = cells.select(*DIMS, F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"))
-    plan = planned.join(sizes, DIMS)
+    blocks = cells.groupBy("source").agg(F.ceil(F.sum("rows") / BLOCK_ROWS).alias("blocks"))
     # The plan has one row per cell of the target list, so it is small by its making.
+    plan = cut(planned.join(blocks, "source"))
     rows = docs.join(F.broadcast(plan), DIMS, "left")
-    h = F.xxhash64("doc_id", F.lit("mix"))
-    block = F.pmod(h, F.coalesce("blocks", F.lit(1)).cast("long"))
-    drawn = rows.where("copies is not null and tokens > 0").withColumn("block", block)
-    w = Window.partitionBy(*DIMS, "block").orderBy("tokens", "doc_id")
-    begin = F.pmod(F.xxhash64(*DIMS, "block"), F.lit(1_000_003)) / 1_000_003.0
-    i = F.row_number().over(w)
-    step = (F.floor(F.col("copies") * i + begin) - F.floor(F.col("copies") * (i - 1) + begin)).cast("int")
-    drawn = drawn.select("doc_id", "source", "tokens", F.least(step, F.col("max_repeats")).alias("copies"))
-    out = rows.where("copies is null or tokens is null or tokens <= 0").select("doc_id", "source", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.lit(0).alias("copies"))
-    return drawn.unionByName(out)
+    inside = F.col("copies").isNotNull() & (F.coalesce("tokens", F.lit(0)) > 0)
+    drawn = rows.where(inside).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.col("blocks")))
+    w = Window.partitionBy("source", "block").orderBy("tokens", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    drawn = drawn.withColumn("upto", F.sum(F.col("copies").cast("decimal(28,12)")).over(w))
+    copies = F.col("copies").cast("decimal(28,12)")
+
+    def steps(start) -> Column:  # noqa: ANN001 - a number or a column
+        s = F.lit(start).cast("decimal(28,12)") if isinstance(start, float) else start
+        return F.least(F.floor(F.col("upto") + s) - F.floor(F.col("upto") - copies + s), F.col("max_repeats").cast("long"))
+
+    off = [F.abs(F.sum(steps((k + 0.5) / STARTS) * F.col("tokens")) - F.sum(F.col("copies") * F.col("tokens"))) for k in range(STARTS)]
+    tried = drawn.groupBy("source", "block").agg(F.array_min(F.array(*[F.struct(o.alias("off"), F.lit((k + 0.5) / STARTS).alias("start")) for k, o in enumerate(off)]))["start"].alias("start"))
+    taken = drawn.join(tried, ["source", "block"]).select("doc_id", "source", "tokens", steps(F.col("start").cast("decimal(28,12)")).cast("int").alias("copies"))
+    out = rows.where(~inside).select("doc_id", "source", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.lit(0).alias("copies"))
+    return taken.unionByName(out)
 
 
 def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
