@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import problems, registry
+from tidemark.plans import forecasts, history, problems, registry
 
 REGISTRY = registry.new()
-for module in (problems,):
+for module in (problems, history, forecasts):
     for name, f in module.R.queries.items():
         REGISTRY.query(name, module.R.oracles.get(name))(f)
