@@ -55,7 +55,7 @@ def quantile_bin(df: DataFrame, x: str, parts: int, by: list[str] | None = None)
     by = by or []
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     edges = df.groupBy(*by).agg(F.percentile(x, shares).alias("_edges"))
-    joined = df.join(F.broadcast(edges), by) if by else df.withColumn("_edges", edges.select("_edges").scalar())
+    joined = df.join(edges, by) if by else df.withColumn("_edges", edges.select("_edges").scalar())
     return joined.withColumn("part", F.size(F.filter("_edges", lambda e: e < F.col(x)))).drop("_edges")
 
 

@@ -50,17 +50,17 @@ def matches(spark: SparkSession, sf: str) -> DataFrame:
     return full.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("gh", "ga")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("xh", "xa")})
 
 
-#: match_id, bookmaker, known, p1, p2, p3 (three prices in (1, 15))
+#: match_id, bookmaker, known, p1, p2, p3 (three prices in (1, 15)), part, gross (to tell equal quotes apart)
 QUOTES_SQL = """
 quotes AS (
   SELECT m.match_id, CAST(l_linenumber AS BIGINT) AS bookmaker, m.kick - (1 + l_linenumber * 7) AS known,
-    1.05 + l_quantity % 13 AS p1, 1.05 + CAST(floor(l_extendedprice) AS BIGINT) % 13 AS p2, 1.05 + CAST(round(l_tax * 100) AS BIGINT) % 13 AS p3
+    1.05 + l_quantity % 13 AS p1, 1.05 + CAST(floor(l_extendedprice) AS BIGINT) % 13 AS p2, 1.05 + CAST(round(l_tax * 100) AS BIGINT) % 13 AS p3, l_partkey AS part, l_extendedprice AS gross
   FROM lineitem JOIN matches m ON l_orderkey = m.match_id)"""
 
 
 def quotes(spark: SparkSession, sf: str) -> DataFrame:
     m = matches(spark, sf).select("match_id", "kick")
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax", "l_partkey")
     return li.join(m, F.col("l_orderkey") == F.col("match_id")).select(
         "match_id",
         F.col("l_linenumber").cast("long").alias("bookmaker"),
@@ -68,13 +68,15 @@ def quotes(spark: SparkSession, sf: str) -> DataFrame:
         (1.05 + F.col("l_quantity") % 13).alias("p1"),
         (1.05 + F.floor("l_extendedprice").cast("long") % 13).alias("p2"),
         (1.05 + F.round(F.col("l_tax") * 100).cast("long") % 13).alias("p3"),
+        F.col("l_partkey").alias("part"),
+        F.col("l_extendedprice").alias("gross"),
     )
 
 
 #: trade_id, wallet, market, at (timestamp), side, size, price, won, resolved_at
 WAGERS_SQL = """
 wagers AS (
-  SELECT event_id AS trade_id, user_id AS wallet, CAST(json_extract_string(props, '$.k') AS BIGINT) AS market, ts AS at,
+  SELECT event_id AS trade_id, user_id AS wallet, CAST(json_extract_string(props, '$.k') AS BIGINT) AS market, ts AS t_at,
     CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 'buy' ELSE 'sell' END AS side, value AS size,
     (CAST(json_extract_string(props, '$.k') AS BIGINT) + 1) / 102.0 AS price
   FROM events),

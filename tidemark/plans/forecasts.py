@@ -10,7 +10,7 @@ from tidemark.operators import calibration, ledger, resampling
 from tidemark.plans import registry
 from tidemark.plans.adapters import MATCHES_SQL, QUOTES_SQL, WAGERS_SQL, matches, quotes, settled, wagers
 from tidemark.plans.history import GRID_SQL, LEAD, predictions, rounded, strength_sql
-from tidemark.session import table
+from tidemark.session import cut, table
 
 R = registry.new()
 
@@ -54,7 +54,7 @@ def shin_probabilities(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(solved.select("match_id", "z", *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("home", "draw", "away"))]))
 
 
-LONG_SQL = "lq AS (SELECT match_id, bookmaker, known, unnest([1, 2, 3]) AS sel, unnest([p1, p2, p3]) AS price FROM quotes), nq AS (SELECT *, (1 / price) / sum(1 / price) OVER (PARTITION BY match_id, bookmaker, known) AS fair FROM lq)"
+LONG_SQL = "nq AS (SELECT match_id, bookmaker, known, unnest([1, 2, 3]) AS sel, unnest([p1, p2, p3]) AS price, unnest([1 / p1 / s, 1 / p2 / s, 1 / p3 / s]) AS fair FROM (SELECT *, 1 / p1 + 1 / p2 + 1 / p3 AS s FROM quotes))"
 
 
 def long_quotes(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,9 +83,9 @@ def gap_to_consensus(spark: SparkSession, sf: str) -> DataFrame:
     return g.groupBy("bookmaker", label.alias("class")).agg(F.count(F.lit(1)).alias("quotes"))
 
 
-@R.query("price_rank", f"WITH {MATCHES_SQL}, {QUOTES_SQL}, {LONG_SQL} SELECT match_id, sel, bookmaker, row_number() OVER (PARTITION BY match_id, sel ORDER BY price DESC, bookmaker, known) AS rank FROM nq")
+@R.query("price_rank", f"WITH {MATCHES_SQL}, {QUOTES_SQL}, {LONG_SQL} SELECT match_id, sel, bookmaker, row_number() OVER (PARTITION BY match_id, sel ORDER BY price DESC, bookmaker, known, fair) AS rank FROM nq")
 def price_rank(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("match_id", "sel").orderBy(F.col("price").desc(), "bookmaker", "known")
+    w = Window.partitionBy("match_id", "sel").orderBy(F.col("price").desc(), "bookmaker", "known", "fair")
     return long_quotes(spark, sf).select("match_id", "sel", "bookmaker", F.row_number().over(w).cast("long").alias("rank"))
 
 
@@ -96,9 +96,9 @@ def best_price_sum(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(best.groupBy("match_id").agg(total.alias("total"), (1 - total).alias("margin"), (total < 1).alias("arbitrage"), F.count(F.lit(1)).alias("n")).where("n = 3").drop("n"))
 
 
-@R.query("price_movement", f"WITH {MATCHES_SQL}, {QUOTES_SQL}, {LONG_SQL}, oc AS (SELECT match_id, sel, arg_min(price, row(known, bookmaker)) AS o, arg_max(price, row(known, bookmaker)) AS c, arg_min(fair, row(known, bookmaker)) AS fo, arg_max(fair, row(known, bookmaker)) AS fc FROM nq GROUP BY 1, 2) SELECT match_id, sel, round(c - o, 6) AS move, round(c / o - 1, 6) AS relative, round(fc - fo, 6) AS fair_move FROM oc")
+@R.query("price_movement", f"WITH {MATCHES_SQL}, {QUOTES_SQL}, {LONG_SQL}, oc AS (SELECT match_id, sel, arg_min(price, row(known, bookmaker, price, fair)) AS o, arg_max(price, row(known, bookmaker, price, fair)) AS c, arg_min(fair, row(known, bookmaker, price, fair)) AS fo, arg_max(fair, row(known, bookmaker, price, fair)) AS fc FROM nq GROUP BY 1, 2) SELECT match_id, sel, round(c - o, 6) AS move, round(c / o - 1, 6) AS relative, round(fc - fo, 6) AS fair_move FROM oc")
 def price_movement(spark: SparkSession, sf: str) -> DataFrame:
-    at = F.struct("known", "bookmaker")
+    at = F.struct("known", "bookmaker", "price", "fair")
     g = long_quotes(spark, sf).groupBy("match_id", "sel").agg(*[f(c, at).alias(n) for f, c, n in ((F.min_by, "price", "o"), (F.max_by, "price", "c"), (F.min_by, "fair", "fo"), (F.max_by, "fair", "fc"))])
     return rounded(g.select("match_id", "sel", (F.col("c") - F.col("o")).alias("move"), (F.col("c") / F.col("o") - 1).alias("relative"), (F.col("fc") - F.col("fo")).alias("fair_move")))
 
@@ -131,7 +131,8 @@ def overs(spark: SparkSession, sf: str) -> DataFrame:
     """match_id, league, at, gh, ga, lam, mu, p (rounded forecast of more than 2 goals), y."""
     d = predictions(spark, sf)
     p = grid.over_probability(grid.total_distribution(F.col("h"), F.col("a")), 2.5)
-    return d.select("match_id", "league", "at", "gh", "ga", "lam", "mu", F.round(p, 6).alias("p"), (F.col("gh") + F.col("ga") > 2).cast("int").alias("y"))
+    # Written once: filters on p would otherwise be pushed down and repeat the whole grid expression.
+    return cut(d.select("match_id", "league", "at", "gh", "ga", "lam", "mu", F.round(p, 6).alias("p"), (F.col("gh") + F.col("ga") > 2).cast("int").alias("y")))
 
 
 BIN = "least(greatest(CAST(ceil(p * 10) AS INT) - 1, 0), 9)"
@@ -170,7 +171,7 @@ def fixed_bin_table(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(overs(spark, sf).groupBy(scoring.left_closed_bin(x, [1.0, 2.0, 3.0, 4.0]).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean_expected"), F.avg((F.col("gh") + F.col("ga")).cast("double")).alias("mean_actual")))
 
 
-@R.query("cross_bin_table", f"WITH {OVER_SQL}, e AS (SELECT quantile_cont(lam, [0.2, 0.4, 0.6, 0.8]) AS a, quantile_cont(mu, [0.2, 0.4, 0.6, 0.8]) AS b FROM ov), k AS (SELECT CAST(len(list_filter(a, lambda x: x < lam)) AS INT) AS i, CAST(len(list_filter(b, lambda x: x < mu)) AS INT) AS j, y FROM ov, e) SELECT i, j, count(*) AS n, round(avg(y), 6) AS mean_y FROM k GROUP BY GROUPING SETS ((i, j), (i), (j), ())")
+@R.query("cross_bin_table", f"WITH {OVER_SQL}, e AS (SELECT quantile_cont(lam, [0.2, 0.4, 0.6, 0.8]) AS a, quantile_cont(mu, [0.2, 0.4, 0.6, 0.8]) AS b FROM ov), kk AS (SELECT CAST(len(list_filter(a, lambda x: x < lam)) AS INT) AS i, CAST(len(list_filter(b, lambda x: x < mu)) AS INT) AS j, y FROM ov, e) SELECT i, j, count(*) AS n, round(avg(y), 6) AS mean_y FROM kk GROUP BY GROUPING SETS ((i, j), (i), (j), ())")
 def cross_bin_table(spark: SparkSession, sf: str) -> DataFrame:
     """Two quintile bins against each other with margins (CUBE)."""
     both = calibration.quantile_bin(calibration.quantile_bin(overs(spark, sf), "lam", 5).withColumnRenamed("part", "i"), "mu", 5).withColumnRenamed("part", "j")
@@ -183,7 +184,7 @@ def stability_report(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(s.groupingSets([[], ["league"], ["season"]], "league", "season").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("p") - F.col("y")).alias("bias")))
 
 
-@R.query("walk_forward_scale", f"WITH {OVER_SQL}, t AS (SELECT ov.*, m.kick - {LEAD} AS at FROM ov JOIN matches m USING (match_id)) SELECT match_id, CASE WHEN count(*) OVER w >= 30 THEN round(sum(gh + ga) OVER w / nullif(sum(lam + mu) OVER w, 0), 6) END AS scale FROM t WINDOW w AS (PARTITION BY t.league ORDER BY at RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+@R.query("walk_forward_scale", f"WITH {OVER_SQL}, t AS (SELECT ov.*, m.kick - {LEAD} AS t_at FROM ov JOIN matches m USING (match_id)) SELECT match_id, CASE WHEN count(*) OVER w >= 30 THEN round(sum(gh + ga) OVER w / nullif(sum(lam + mu) OVER w, 0), 6) END AS scale FROM t WINDOW w AS (PARTITION BY t.league ORDER BY t_at RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def walk_forward_scale(spark: SparkSession, sf: str) -> DataFrame:
     rows = overs(spark, sf).withColumns({"actual": (F.col("gh") + F.col("ga")).cast("double"), "expected": F.col("lam") + F.col("mu")})
     return rounded(rows.select("match_id", calibration.walk_forward_scale(rows, ["league"], "at", "actual", "expected").alias("scale")))
@@ -250,9 +251,9 @@ def holm_steps(spark: SparkSession, sf: str) -> DataFrame:
 
 DYADIC_SQL = f"""WITH {OVER_SQL}, d AS (SELECT m.match_id, m.home AS l, m.away AS r, ov.p AS x, CAST(ov.y AS DOUBLE) AS y FROM ov JOIN matches m USING (match_id) WHERE ov.p IS NOT NULL),
 c AS (SELECT avg(x) AS mx, avg(y) AS my, covar_pop(x, y) / var_pop(x) AS b, var_pop(x) AS v, count(*) AS n, corr(x, y) AS r FROM d),
-g AS (SELECT l, r, (x - mx) * (y - my - b * (x - mx)) AS g FROM d, (SELECT mx, my, b FROM c)),
-t AS (SELECT k, sum(g) AS t FROM (SELECT l AS k, g FROM g UNION ALL SELECT r, g FROM g WHERE l <> r) GROUP BY 1),
-q AS (SELECT least(l, r) AS a, greatest(l, r) AS z, sum(g) AS t FROM g WHERE l <> r GROUP BY 1, 2)
+gs AS (SELECT l, r, (x - mx) * (y - my - b * (x - mx)) AS g FROM d, (SELECT mx, my, b FROM c)),
+t AS (SELECT k, sum(g) AS t FROM (SELECT l AS k, g FROM gs UNION ALL SELECT r, g FROM gs WHERE l <> r) GROUP BY 1),
+q AS (SELECT least(l, r) AS a, greatest(l, r) AS z, sum(g) AS t FROM gs WHERE l <> r GROUP BY 1, 2)
 SELECT n, round(b, 6) AS slope, round(r, 6) AS r, round(((SELECT sum(t * t) FROM t) - (SELECT sum(t * t) FROM q)) / pow(n * v, 2), 8) AS slope_variance FROM c"""
 
 
@@ -265,19 +266,19 @@ def dyadic_slope(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- ledgers -------------------------------------------------------------------------------------------
 
-BETS_SQL = f"{MATCHES_SQL}, {QUOTES_SQL}, bets AS (SELECT q.bookmaker, q.match_id, m.kick, CASE WHEN gh > ga THEN p1 - 1 ELSE -1.0 END AS profit FROM quotes q JOIN matches m USING (match_id)), path AS (SELECT *, 100000 + sum(profit) OVER w AS balance FROM bets WINDOW w AS (PARTITION BY bookmaker ORDER BY kick, match_id, profit ROWS UNBOUNDED PRECEDING)), dd AS (SELECT *, balance / greatest(100000, max(balance) OVER (PARTITION BY bookmaker ORDER BY kick, match_id, profit ROWS UNBOUNDED PRECEDING)) - 1 AS drawdown, lag(balance, 1, 100000) OVER (PARTITION BY bookmaker ORDER BY kick, match_id, profit) AS before FROM path)"
+BETS_SQL = f"{MATCHES_SQL}, {QUOTES_SQL}, bets AS (SELECT q.bookmaker, q.match_id, m.kick, q.part, q.gross, CASE WHEN gh > ga THEN p1 - 1 ELSE -1.0 END AS profit FROM quotes q JOIN matches m USING (match_id)), path AS (SELECT *, 100000 + sum(profit) OVER w AS balance FROM bets WINDOW w AS (PARTITION BY bookmaker ORDER BY kick, match_id, part, gross ROWS UNBOUNDED PRECEDING)), dd AS (SELECT *, balance / greatest(100000, max(balance) OVER (PARTITION BY bookmaker ORDER BY kick, match_id, part, gross ROWS UNBOUNDED PRECEDING)) - 1 AS drawdown, lag(balance, 1, 100000) OVER (PARTITION BY bookmaker ORDER BY kick, match_id, part, gross) AS before FROM path)"
 
 
 def flat_path(spark: SparkSession, sf: str) -> DataFrame:
     m = matches(spark, sf).select("match_id", "kick", "gh", "ga")
-    bets = quotes(spark, sf).select("match_id", "bookmaker", "p1").join(m, "match_id").select("bookmaker", "match_id", "kick", F.when(F.col("gh") > F.col("ga"), F.col("p1") - 1).otherwise(-1.0).alias("profit"))
-    return ledger.running_balance(bets, ["bookmaker"], ["kick", "match_id", "profit"], "profit", 100_000.0)
+    bets = quotes(spark, sf).select("match_id", "bookmaker", "p1", "part", "gross").join(m, "match_id").select("bookmaker", "match_id", "kick", "part", "gross", F.when(F.col("gh") > F.col("ga"), F.col("p1") - 1).otherwise(-1.0).alias("profit"))
+    return ledger.running_balance(bets, ["bookmaker"], ["kick", "match_id", "part", "gross"], "profit", 100_000.0)
 
 
-@R.query("path_metrics", f"WITH {BETS_SQL} SELECT bookmaker, count(*) AS bets, round(arg_max(balance, row(kick, match_id, profit)), 4) AS final_balance, round(arg_max(balance, row(kick, match_id, profit)) / 100000 - 1, 6) AS total_return, round(min(drawdown), 6) AS max_drawdown, round(stddev_pop(balance / before - 1), 6) AS volatility, round(avg(CAST(balance > before AS INT)), 6) AS win_rate FROM dd GROUP BY 1")
+@R.query("path_metrics", f"WITH {BETS_SQL} SELECT bookmaker, count(*) AS bets, round(arg_max(balance, row(kick, match_id, part, gross)), 2) AS final_balance, round(arg_max(balance, row(kick, match_id, part, gross)) / 100000 - 1, 4) AS total_return, round(min(drawdown), 6) AS max_drawdown, round(stddev_pop(balance / before - 1), 6) AS volatility, round(avg(CAST(balance > before AS INT)), 6) AS win_rate FROM dd GROUP BY 1")
 def path_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    d = ledger.path_metrics(flat_path(spark, sf), ["bookmaker"], ["kick", "match_id", "profit"], 100_000.0)
-    return d.select("bookmaker", "bets", F.round("final_balance", 4).alias("final_balance"), *[F.round(c, 6).alias(c) for c in ("total_return", "max_drawdown", "volatility", "win_rate")])
+    d = ledger.path_metrics(flat_path(spark, sf), ["bookmaker"], ["kick", "match_id", "part", "gross"], 100_000.0)
+    return d.select("bookmaker", "bets", F.round("final_balance", 2).alias("final_balance"), F.round("total_return", 4).alias("total_return"), *[F.round(c, 6).alias(c) for c in ("max_drawdown", "volatility", "win_rate")])
 
 
 @R.query("simulated_paths")
@@ -285,13 +286,13 @@ def simulated_paths(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.summarise_paths(ledger.simulate_paths(spark, 400, 200, 0.5, 2.05))
 
 
-@R.query("positions_as_of", f"WITH {WAGERS_SQL} SELECT wallet, market, round(sum(CASE WHEN side = 'buy' THEN size ELSE -size END), 4) AS net_size, count(*) AS n_trades, max(at) AS last_at FROM wagers WHERE at < TIMESTAMP '2024-01-15' GROUP BY 1, 2")
+@R.query("positions_as_of", f"WITH {WAGERS_SQL} SELECT wallet, market, round(sum(CASE WHEN side = 'buy' THEN size ELSE -size END), 4) AS net_size, count(*) AS n_trades, max(t_at) AS last_at FROM wagers WHERE t_at < TIMESTAMP '2024-01-15' GROUP BY 1, 2")
 def positions_as_of(spark: SparkSession, sf: str) -> DataFrame:
     p = ledger.positions_as_of(wagers(spark, sf), ["wallet", "market"], "at", F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"), F.col("side"), "size")
     return p.withColumn("net_size", F.round("net_size", 4))
 
 
-STATS_SQL = f"WITH {WAGERS_SQL}, w AS (SELECT wagers.*, s.won, s.resolved_at < TIMESTAMP '2024-01-15' AS done FROM wagers LEFT JOIN settled s USING (market) WHERE at < TIMESTAMP '2024-01-15') SELECT wallet, count(*) AS n, round(sum(price * size), 4) AS volume, count(*) FILTER (done) AS n_resolved, round(sum((CASE WHEN side = 'buy' THEN 1 ELSE -1 END) * (CAST(won AS INT) - price) * size) FILTER (done), 4) AS realised, round(avg(CAST((CASE WHEN side = 'buy' THEN 1 ELSE -1 END) * (CAST(won AS INT) - price) * size > 0 AS INT)) FILTER (done), 6) AS win_rate FROM w GROUP BY 1"
+STATS_SQL = f"WITH {WAGERS_SQL}, w AS (SELECT wagers.*, s.won, s.resolved_at < TIMESTAMP '2024-01-15' AS done FROM wagers LEFT JOIN settled s USING (market) WHERE t_at < TIMESTAMP '2024-01-15') SELECT wallet, count(*) AS n, round(sum(price * size), 4) AS volume, count(*) FILTER (done) AS n_resolved, round(sum((CASE WHEN side = 'buy' THEN 1 ELSE -1 END) * (CAST(won AS INT) - price) * size) FILTER (done), 4) AS realised, round(avg(CAST((CASE WHEN side = 'buy' THEN 1 ELSE -1 END) * (CAST(won AS INT) - price) * size > 0 AS INT)) FILTER (done), 6) AS win_rate FROM w GROUP BY 1"
 
 
 def wallet_stats(spark: SparkSession, sf: str) -> DataFrame:
