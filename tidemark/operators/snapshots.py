@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import fingerprint
+from tidemark.session import cut
 
 
 @dataclass(frozen=True)
@@ -88,7 +89,8 @@ def snapshot_changes(df: DataFrame, spec: SnapshotSpec, content: list[Column], b
     A snapshot with no comparable rows cannot be seen in the table and counts
     as not arrived.
     """
-    rows = chunked(effective_rows(df, spec, content), spec, blocks)
+    # Read for the digests and again for the rows of unmatched chunks; written once in between.
+    rows = cut(chunked(effective_rows(df, spec, content), spec, blocks))
     order = Window.partitionBy("g").orderBy("n")
     arrived = df.select(F.col(spec.group).alias("g"), F.col(spec.number).alias("n")).where("g is not null and n is not null").distinct()
     seq = arrived.select("g", "n", F.row_number().over(order).alias("seq"), F.lead("n").over(order).alias("next_n"))
@@ -101,7 +103,7 @@ def snapshot_changes(df: DataFrame, spec: SnapshotSpec, content: list[Column], b
         .where("not (in_prev and in_next)")
         .select("g", "n", "b", "chunk", "seq", "next_n", "in_prev", "in_next")
     )
-    open_rows = rows.select("g", "n", "b", "chunk", "k", "c1", "c2").join(flagged, ["g", "n", "b", "chunk"])
+    open_rows = cut(rows.select("g", "n", "b", "chunk", "k", "c1", "c2").join(flagged, ["g", "n", "b", "chunk"]))
     new = open_rows.where("not in_prev and seq > 1").select("g", "n", "k", F.struct("c1", "c2").alias("new"))
     old = open_rows.where("not in_next and next_n is not null").select("g", F.col("next_n").alias("n"), "k", F.struct("c1", "c2").alias("old"))
     kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")

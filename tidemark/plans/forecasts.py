@@ -275,10 +275,10 @@ def flat_path(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.running_balance(bets, ["bookmaker"], ["kick", "match_id", "part", "gross"], "profit", 100_000.0)
 
 
-@R.query("path_metrics", f"WITH {BETS_SQL} SELECT bookmaker, count(*) AS bets, round(arg_max(balance, row(kick, match_id, part, gross)), 2) AS final_balance, round(arg_max(balance, row(kick, match_id, part, gross)) / 100000 - 1, 4) AS total_return, round(min(drawdown), 6) AS max_drawdown, round(stddev_pop(balance / before - 1), 6) AS volatility, round(avg(CAST(balance > before AS INT)), 6) AS win_rate FROM dd GROUP BY 1")
+@R.query("path_metrics", f"WITH {BETS_SQL} SELECT bookmaker, count(*) AS bets, round(arg_max(balance, row(kick, match_id, part, gross)), 2) AS final_balance, round(arg_max(balance, row(kick, match_id, part, gross)) / 100000 - 1, 7) AS total_return, round(min(drawdown), 6) AS max_drawdown, round(stddev_pop(balance / before - 1), 6) AS volatility, round(avg(CAST(balance > before AS INT)), 6) AS win_rate FROM dd GROUP BY 1")
 def path_metrics(spark: SparkSession, sf: str) -> DataFrame:
     d = ledger.path_metrics(flat_path(spark, sf), ["bookmaker"], ["kick", "match_id", "part", "gross"], 100_000.0)
-    return d.select("bookmaker", "bets", F.round("final_balance", 2).alias("final_balance"), F.round("total_return", 4).alias("total_return"), *[F.round(c, 6).alias(c) for c in ("max_drawdown", "volatility", "win_rate")])
+    return d.select("bookmaker", "bets", F.round("final_balance", 2).alias("final_balance"), F.round("total_return", 7).alias("total_return"), *[F.round(c, 6).alias(c) for c in ("max_drawdown", "volatility", "win_rate")])
 
 
 @R.query("simulated_paths")
