@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.setjoin import bigram_set, similarity_join
 from tidemark.llm.textfold import damerau, fold, is_short_form
+from tidemark.session import cut
 
 #: Words of club names in the list's four languages, as folded.
 CLUB_WORDS = "united rovers wanderers county albion town athletic city olympique racing etoile stade us as fortuna sv concordia viktoria eintracht tsv real union deportivo sporting atletico cd ud".split()
@@ -128,9 +129,11 @@ def match_clubs(typed: DataFrame, clubs: DataFrame, threshold: float = 0.3) -> D
     that cost are told apart by the competition of the row, else the name stays
     unresolved.  Names of another side, of no club, blank or NULL give 0.
     """
-    parsed = typed.select("name", "competition", parse_names("name").alias("p"))
-    towns = parsed.where("not p.other and p.town <> ''").select(F.col("p.town").alias("town")).distinct().withColumn("tokens", bigram_set(F.col("town")))
-    aliases = club_aliases(clubs)
+    parsed = cut(typed.select("name", "competition", parse_names("name").alias("p")))
+    aliases = cut(club_aliases(clubs))
+    # The length filter of the join, ahead of it: a longer text cannot reach the threshold with any alias.
+    longest = F.coalesce(aliases.agg(F.max(F.length("alias"))).scalar(), F.lit(0)) / threshold
+    towns = parsed.where("not p.other and p.town <> ''").select(F.col("p.town").alias("town")).where(F.length("town") <= longest).distinct().withColumn("tokens", bigram_set(F.col("town")))
     right = aliases.select("alias_id", bigram_set(F.col("alias")).alias("tokens"))
     near = similarity_join(towns, right, "town", "alias_id", threshold).join(aliases, "alias_id")
     flat = parsed.where("not p.other").select("name", "competition", F.col("p.town").alias("town"), F.col("p.words").alias("words"))

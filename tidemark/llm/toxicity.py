@@ -42,8 +42,8 @@ def majority(labels: DataFrame) -> DataFrame:
 def fit(documents: DataFrame, labels: DataFrame) -> crf.Model:
     """Model from at most SAMPLE_PER_CLASS labelled documents of each class, chosen by hash of their id.
 
-    With no document labelled abusive the model gives every text the score of an
-    untrained one, which lies under its threshold.
+    Without any labelled document nothing can be told apart and no text is
+    called abusive.
     """
     votes = majority(labels).withColumn("h", F.xxhash64("doc_id"))
     picked = votes.where("y = 1").orderBy("h", "doc_id").limit(SAMPLE_PER_CLASS).unionByName(votes.where("y = 0").orderBy("h", "doc_id").limit(SAMPLE_PER_CLASS))
@@ -64,7 +64,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> crf.Model:
 
     rows = sample.groupBy().applyInPandas(learn, T.StructType([T.StructField("state", T.BinaryType())])).collect()
     if not rows:
-        return crf.Model(threshold=0.9)
+        return crf.Model(trans=np.array([[0.0, -8.0], [0.0, -8.0]]), threshold=2.0)
     kept, w, trans, threshold = pickle.loads(rows[0]["state"])
     weights = np.zeros(crf.FEATURES, dtype="float32")
     weights[kept] = w
