@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import forecasts, history, problems, records, registry
+from tidemark.plans import extras, forecasts, history, problems, records, registry
 
 REGISTRY = registry.new()
-for module in (problems, history, forecasts, records):
+for module in (problems, history, forecasts, records, extras):
     for name, f in module.R.queries.items():
         REGISTRY.query(name, module.R.oracles.get(name))(f)
