@@ -77,7 +77,8 @@ def town_distance(typed: str, town: str) -> tuple[int, int] | None:
 
 def _town_distance(typed: str, town: str) -> tuple[int, int] | None:
     n = len(typed)
-    most = 2 if n >= 8 else 1 if n >= 5 else 0
+    # The longer a name, the more slips it survives without becoming another.
+    most = 3 if n >= 12 else 2 if n >= 8 else 1 if n >= 5 else 0
     d = damerau(typed, town, most)
     if d <= most:
         return 0, d

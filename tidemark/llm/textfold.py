@@ -57,10 +57,18 @@ def damerau(a: str, b: str, most: int = 99) -> int:
 
 
 def is_short_form(word: str, full: str) -> bool:
-    """Whether word can stand for full: equal, a slip of it, its beginning or its letters in order."""
+    """Whether word can stand for full: equal, a slip of it, its beginning, or its consonants in order.
+
+    A skeleton keeps the first letter and leaves out inner vowels; it may end in
+    the full word's last `o`.  Pieces of a longer name do not pass for one.
+    """
     if word == full or (len(word) >= 4 and damerau(word, full, 2) <= (1 if len(full) < 7 else 2)):
         return True
     if not word or len(word) > 6 or word[0] != full[0]:
         return False
+    if full.startswith(word):
+        return True
     it = iter(full)
-    return all(c in it for c in word)
+    vowels = set("aeiou")
+    end_ok = word[-1] not in vowels or word[-1] == full[-1] == "o"
+    return all(c in it for c in word) and end_ok and not vowels & set(word[1:-1])
