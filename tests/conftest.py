@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 def spark():
     from tidemark.session import local_session, ship
 
-    s = local_session(4, "tests", "4g", **{"spark.sql.shuffle.partitions": "4"})
+    s = local_session(8, "tests", "4g", **{"spark.sql.shuffle.partitions": "2", "spark.default.parallelism": "2"})
     ship(s)
     yield s
 
