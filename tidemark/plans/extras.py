@@ -31,7 +31,7 @@ def time_thirds(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(t.groupBy("league", "third").agg(F.count(F.lit(1)).alias("n"), F.avg("g").alias("mean_goals")))
 
 
-PAIRED_SQL = f"WITH {OVER_SQL}, b AS (SELECT league, avg(y) AS base FROM ov WHERE p IS NOT NULL GROUP BY 1), d AS (SELECT ov.league, pow(p - y, 2) - pow(base - y, 2) AS d FROM ov JOIN b ON ov.league = b.league WHERE p IS NOT NULL) SELECT league, count(*) AS n, round(avg(d), 6) AS mean_difference, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 4) AS t FROM d GROUP BY 1"
+PAIRED_SQL = f"WITH {OVER_SQL}, b AS (SELECT league, avg(y) AS base FROM ov WHERE p IS NOT NULL GROUP BY 1), d AS (SELECT ov.league, pow(p - y, 2) - pow(base - y, 2) AS d FROM ov JOIN b ON ov.league = b.league WHERE p IS NOT NULL) SELECT league, count(*) AS n, round(avg(d), 6) + 0.0 AS mean_difference, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 4) AS t FROM d GROUP BY 1"
 
 
 @R.query("paired_score_t", PAIRED_SQL)
@@ -41,7 +41,7 @@ def paired_score_t(spark: SparkSession, sf: str) -> DataFrame:
     base = F.avg("y").over(Window.partitionBy("league"))
     d = o.withColumn("d", scoring.binary_brier(F.col("p"), F.col("y")) - scoring.binary_brier(base, F.col("y")))
     t = F.try_divide(F.avg("d"), F.stddev_samp("d") / F.sqrt(F.count(F.lit(1))))
-    return d.groupBy("league").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("d"), 6).alias("mean_difference"), F.round(t, 4).alias("t"))
+    return d.groupBy("league").agg(F.count(F.lit(1)).alias("n"), (F.round(F.avg("d"), 6) + F.lit(0.0)).alias("mean_difference"), F.round(t, 4).alias("t"))
 
 
 @R.query("error_percentiles", f"WITH {OVER_SQL}, e AS (SELECT league, abs(p - y) AS e FROM ov WHERE p IS NOT NULL) SELECT league, round(quantile_cont(e, 0.1), 6) AS p10, round(quantile_cont(e, 0.5), 6) AS p50, round(quantile_cont(e, 0.9), 6) AS p90, round(avg(CAST(e > 0.5 AS INT)), 6) AS over_half FROM e GROUP BY 1")

@@ -96,7 +96,7 @@ def best_price_sum(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(best.groupBy("match_id").agg(total.alias("total"), (1 - total).alias("margin"), (total < 1).alias("arbitrage"), F.count(F.lit(1)).alias("n")).where("n = 3").drop("n"))
 
 
-@R.query("price_movement", f"WITH {MATCHES_SQL}, {QUOTES_SQL}, {LONG_SQL}, oc AS (SELECT match_id, sel, arg_min(price, row(known, bookmaker, price, fair)) AS o, arg_max(price, row(known, bookmaker, price, fair)) AS c, arg_min(fair, row(known, bookmaker, price, fair)) AS fo, arg_max(fair, row(known, bookmaker, price, fair)) AS fc FROM nq GROUP BY 1, 2) SELECT match_id, sel, round(c - o, 6) AS move, round(c / o - 1, 6) AS relative, round(fc - fo, 6) AS fair_move FROM oc")
+@R.query("price_movement", f"WITH {MATCHES_SQL}, {QUOTES_SQL}, {LONG_SQL}, oc AS (SELECT match_id, sel, arg_min(price, row(known, bookmaker, price, fair)) AS o, arg_max(price, row(known, bookmaker, price, fair)) AS c, arg_min(fair, row(known, bookmaker, price, fair)) AS fo, arg_max(fair, row(known, bookmaker, price, fair)) AS fc FROM nq GROUP BY 1, 2) SELECT match_id, sel, round(c - o, 6) + 0.0 AS move, round(c / o - 1, 6) + 0.0 AS relative, round(fc - fo, 6) + 0.0 AS fair_move FROM oc")
 def price_movement(spark: SparkSession, sf: str) -> DataFrame:
     at = F.struct("known", "bookmaker", "price", "fair")
     g = long_quotes(spark, sf).groupBy("match_id", "sel").agg(*[f(c, at).alias(n) for f, c, n in ((F.min_by, "price", "o"), (F.max_by, "price", "c"), (F.min_by, "fair", "fo"), (F.max_by, "fair", "fc"))])
@@ -143,7 +143,7 @@ def reliability_bins(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(calibration.reliability(overs(spark, sf), "p", "y"))
 
 
-@R.query("forecast_scores", f"WITH {OVER_SQL} SELECT league, count(*) AS n, round(avg(pow(p - y, 2)), 6) AS brier, round(avg(-(y * ln(greatest(p, 1e-12)) + (1 - y) * ln(greatest(1 - p, 1e-12)))), 6) AS log_loss, round(avg(p - y), 6) AS bias FROM ov WHERE p IS NOT NULL GROUP BY 1")
+@R.query("forecast_scores", f"WITH {OVER_SQL} SELECT league, count(*) AS n, round(avg(pow(p - y, 2)), 6) AS brier, round(avg(-(y * ln(greatest(p, 1e-12)) + (1 - y) * ln(greatest(1 - p, 1e-12)))), 6) AS log_loss, round(avg(p - y), 6) + 0.0 AS bias FROM ov WHERE p IS NOT NULL GROUP BY 1")
 def forecast_scores(spark: SparkSession, sf: str) -> DataFrame:
     p, y = F.col("p"), F.col("y")
     return rounded(overs(spark, sf).where("p is not null").groupBy("league").agg(F.count(F.lit(1)).alias("n"), F.avg(scoring.binary_brier(p, y)).alias("brier"), F.avg(scoring.binary_log_loss(p, y)).alias("log_loss"), F.avg(p - y).alias("bias")))
@@ -178,7 +178,7 @@ def cross_bin_table(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(both.cube("i", "j").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("y").cast("double")).alias("mean_y")))
 
 
-@R.query("stability_report", f"WITH {OVER_SQL}, s AS (SELECT ov.*, m.season FROM ov JOIN matches m USING (match_id) WHERE p IS NOT NULL) SELECT s.league, s.season, count(*) AS n, round(avg(p - y), 6) AS bias FROM s GROUP BY GROUPING SETS ((), (s.league), (s.season))")
+@R.query("stability_report", f"WITH {OVER_SQL}, s AS (SELECT ov.*, m.season FROM ov JOIN matches m USING (match_id) WHERE p IS NOT NULL) SELECT s.league, s.season, count(*) AS n, round(avg(p - y), 6) + 0.0 AS bias FROM s GROUP BY GROUPING SETS ((), (s.league), (s.season))")
 def stability_report(spark: SparkSession, sf: str) -> DataFrame:
     s = overs(spark, sf).where("p is not null").join(matches(spark, sf).select("match_id", "season"), "match_id")
     return rounded(s.groupingSets([[], ["league"], ["season"]], "league", "season").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("p") - F.col("y")).alias("bias")))

@@ -17,7 +17,8 @@ AT, LEAD = 245_000, 2
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles cut to so many places, with one zero (adding 0 turns -0 into 0)."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 @R.query("pit_scan", f"WITH {MATCHES_SQL} SELECT match_id, known, gh, ga FROM matches WHERE known <= {AT} ORDER BY known, match_id")
