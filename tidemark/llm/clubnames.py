@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,18 +79,73 @@ def town_distance(typed: str, town: str) -> tuple[int, int] | None:
 def _town_distance(typed: str, town: str) -> tuple[int, int] | None:
     n = len(typed)
     # The longer a name, the more slips it survives without becoming another.
-    most = 3 if n >= 12 else 2 if n >= 8 else 1 if n >= 5 else 0
+    most, start = _slips(n)
     d = damerau(typed, town, most)
     if d <= most:
         return 0, d
-    if 4 <= n < len(town) - 1:
-        most = 1 if n >= 6 else 0
-        d = min(damerau(typed, town[:k], most) for k in range(max(1, n - 1), n + 2))
-        if d <= most:
+    if 0 <= start and n < len(town) - 1:
+        d = min(damerau(typed, town[:k], start) for k in range(max(1, n - 1), n + 2))
+        if d <= start:
             return 1, d
     return None
 
 
+def _slips(n: int) -> tuple[int, int]:
+    """Edits that a name of n letters may have to a whole town, and to a town's beginning (-1: none is read so)."""
+    return (3 if n >= 12 else 2 if n >= 8 else 1 if n >= 5 else 0), (1 if n >= 6 else 0 if n >= 4 else -1)
+
+
+def _counts(texts: list[str]) -> np.ndarray:
+    """How often each letter occurs in each text; characters of equal code modulo 32 count as one, which only brings texts nearer."""
+    out = np.zeros((len(texts), 32), dtype=np.int16)
+    for i, t in enumerate(texts):
+        for x in t:
+            out[i, ord(x) % 32] += 1
+    return out
+
+
+def _may_be(n: int, towns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """What a name of n letters may stand for, towns and beginnings of towns: positions, letter counts, most difference."""
+    whole, start = _slips(n)
+    tries = [(k, t, whole) for k, t in enumerate(towns) if abs(len(t) - n) <= whole]
+    if start >= 0:
+        tries += [(k, t[:m], start) for k, t in enumerate(towns) if n < len(t) - 1 for m in range(max(1, n - 1), n + 2)]
+    if not tries:
+        return None
+    # An edit adds a letter, takes one away or both; a swap does neither.
+    return np.array([k for k, _, _ in tries]), _counts([t for _, t, _ in tries]), np.array([2 * most - abs(len(t) - n) for _, t, most in tries])
+
+
+def near_towns(typed: str, towns: list[str], memo: dict) -> set[int]:
+    """Positions of the towns whose letter counts allow the edits of `_town_distance`; none that it accepts is missing."""
+    n = len(typed)
+    if n not in memo:
+        memo[n] = _may_be(n, towns)
+    if memo[n] is None:
+        return set()
+    at, counts, most = memo[n]
+    return {int(k) for k in at[np.abs(counts - _counts([typed])).sum(1) <= most]}
+
+
+def letter_pairs(towns: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Pairs (town, alias_id) of unique typed towns and towns of clubs, by letter counts; none that `town_distance` accepts is missing.
+
+    The list of clubs goes to every task: it has one town per club, however many names are typed.
+    """
+    listed = [(r["alias_id"], r["alias"]) for r in aliases.where("not is_code and alias <> ''").select("alias_id", "alias").collect()]
+    ids, texts = [i for i, _ in listed], [t for _, t in listed]
+    short = [squash(t) for t in texts]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plain: dict = {}
+        squashed: dict = {}
+        for pdf in batches:
+            out = [(town, ids[k]) for town in pdf["town"] for k in sorted(near_towns(town, texts, plain) | near_towns(squash(town), short, squashed))]
+            yield pd.DataFrame(out, columns=["town", "alias_id"])
+
+    return towns.select("town").mapInPandas(run, "town string, alias_id string")
+
+
 def judge(typed: str, words: list[str], alias: str, is_code: bool, club_words: list[str]) -> int | None:
     """Cost of reading a typed name as a club, None where it is another club.
 
@@ -136,7 +192,11 @@ def match_clubs(typed: DataFrame, clubs: DataFrame, threshold: float = 0.3) -> D
     longest = F.coalesce(aliases.agg(F.max(F.length("alias"))).scalar(), F.lit(0)) / threshold
     towns = parsed.where("not p.other and p.town <> ''").select(F.col("p.town").alias("town")).where(F.length("town") <= longest).distinct().withColumn("tokens", bigram_set(F.col("town")))
     right = aliases.select("alias_id", bigram_set(F.col("alias")).alias("tokens"))
-    near = similarity_join(towns, right, "town", "alias_id", threshold).join(aliases, "alias_id")
+    near = similarity_join(towns, right, "town", "alias_id", threshold)
+    # Names whose slips leave them below the threshold, and short beginnings of long towns: all other pairs that the exact check can accept.
+    overlap = F.size(F.array_intersect(bigram_set(F.col("town")), bigram_set(F.col("alias"))))
+    below = letter_pairs(towns, aliases).join(aliases.select("alias_id", "alias"), "alias_id").withColumn("jaccard", overlap / (F.length("town") + F.length("alias") - overlap))
+    near = near.unionByName(below.where(F.col("jaccard") < threshold - 1e-9).select("town", "alias_id", "jaccard")).join(aliases, "alias_id")
     flat = parsed.where("not p.other").select("name", "competition", F.col("p.town").alias("town"), F.col("p.words").alias("words"))
     cands = flat.join(near, "town").withColumn("cost", judge_pairs("town", "words", "alias", "is_code", "club_words")).where("cost is not null")
     here = F.coalesce(F.lower(F.trim("competition")) == F.col("club_competition"), F.lit(False))
