@@ -1,7 +1,7 @@
 """Filling containers of fixed capacity with whole documents (problem 7).
 
 Lexical retrieval packing: documents are spread over shards of bounded token
-mass; each shard holds a BM25 inverted index of its documents (with document
+mass by their words, so that texts alike share a shard; each shard holds a BM25 inverted index of its documents (with document
 frequencies of the whole corpus).  A seed's unused neighbours fill its window
 best match first; the gap that is left takes the largest unused documents that
 still fit.
@@ -10,6 +10,7 @@ still fit.
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_right, insort
 
 import numpy as np
@@ -18,10 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import cut
+
 K1, B = 1.2, 0.75
 #: Tokens that one shard holds on average.
 SHARD_TOKENS = 2_000_000
 
+#: Documents that the places to split the corpus are fitted on, at most, and the buckets that words are hashed to.
+SAMPLE_DOCUMENTS, BUCKETS = 5_000, 512
+
 PACKED = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -120,6 +126,96 @@ def _close_gaps(containers: list[list[int]], sizes: list[int], capacity: int) ->
     return [c for c in containers if c]
 
 
+def word_vector(text: str, bucket: dict[str, int]) -> np.ndarray:
+    """Damped word counts by hashed word; `bucket` keeps hashes already taken."""
+    at = []
+    for w in _WORD.findall(text.lower()):
+        k = bucket.get(w)
+        if k is None:
+            k = bucket[w] = zlib.crc32(w.encode()) % BUCKETS
+        at.append(k)
+    return np.log1p(np.bincount(at, minlength=BUCKETS)) if at else np.zeros(BUCKETS)
+
+
+def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    x = counts * idf
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+
+
+def split_tree(x: np.ndarray, mass: np.ndarray, leaves: int, first: int = 0) -> tuple | int:
+    """Leaf number, or (direction, place, low side, high side): halves by mass along the direction of most variance.
+
+    Rows of equal direction stay together, so a side may be heavier than its share.
+    """
+    if leaves <= 1 or len(x) < 2:
+        return first
+    c = x - x.mean(0)
+    direction = np.linalg.eigh(c.T @ c)[1][:, -1]
+    v = (x * direction).sum(1)
+    order = np.argsort(v, kind="stable")
+    step = np.nonzero(np.diff(v[order]) > 1e-9)[0]
+    if not len(step):
+        return first
+    low = leaves // 2
+    share = np.cumsum(mass[order])[step] / max(mass.sum(), 1)
+    k = step[np.argmin(np.abs(share - low / leaves))]
+    place = float(v[order][k : k + 2].mean())
+    left = v <= place
+    return direction, place, split_tree(x[left], mass[left], low, first), split_tree(x[~left], mass[~left], leaves - low, first + low)
+
+
+def leaf_of(tree: tuple | int, x: np.ndarray) -> np.ndarray:
+    """Leaf of each row; summed row by row, so equal rows get the same leaf in any batch."""
+    if isinstance(tree, int):
+        return np.full(len(x), tree)
+    direction, place, low, high = tree
+    left = (x * direction).sum(1) <= place
+    out = np.empty(len(x), dtype=np.int64)
+    out[left], out[~left] = leaf_of(low, x[left]), leaf_of(high, x[~left])
+    return out
+
+
+def by_content(items: DataFrame, shards: int) -> DataFrame:
+    """Add `shard`: texts alike share it, equal texts always do.
+
+    Places to split are fitted on a bounded sample chosen by hash; every
+    document is then placed by its own words.  A shard that came out heavier than
+    twice its share is split by hash of the text; only a text whose repeats
+    alone outweigh a share is spread by document.
+    """
+    if shards <= 1:
+        return items.withColumn("shard", F.lit("0"))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def counts(texts: pd.Series) -> pd.Series:
+        bucket: dict[str, int] = {}
+        return pd.Series([word_vector(t, bucket) for t in texts])
+
+    some = items.select("doc_id", "text", "tokens", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCUMENTS).select("h", "doc_id", "tokens", counts("text").alias("x")).toPandas().sort_values(["h", "doc_id"])
+    if not len(some):
+        return items.withColumn("shard", F.lit("0"))
+    x = np.array(some["x"].tolist())
+    idf = np.log1p(len(x) / (1 + (x > 0).sum(0)))
+    tree = split_tree(weighted(x, idf), some["tokens"].to_numpy(dtype=float), shards)
+
+    @F.pandas_udf(T.IntegerType())
+    def leaf(texts: pd.Series) -> pd.Series:
+        bucket: dict[str, int] = {}
+        out = [leaf_of(tree, weighted(np.array([word_vector(t, bucket) for t in texts[i : i + 1000]]), idf)) for i in range(0, len(texts), 1000)]
+        return pd.Series(np.concatenate(out) if out else [], dtype="int32")
+
+    # Each text is placed once.
+    placed = cut(items.withColumns({"leaf": leaf("text"), "same": F.xxhash64("text")}))
+    mass = F.sum(F.col("tokens").cast("long"))
+    share = placed.agg(F.greatest(mass / shards, F.lit(1.0)).alias("m")).scalar()
+    heavy = placed.groupBy("leaf").agg(mass.alias("m")).select("leaf", F.when(F.col("m") > 2 * share, F.ceil(F.col("m") / share)).otherwise(1).alias("parts"))
+    # At most as many texts as there are shards can outweigh a share.
+    hot = placed.groupBy("same").agg(mass.alias("m")).where(F.col("m") > share).select("same", F.ceil(F.col("m") / share).alias("copies"))
+    put = placed.join(F.broadcast(heavy), "leaf").join(F.broadcast(hot), "same", "left")
+    part, copy = F.pmod("same", F.col("parts")), F.pmod(F.xxhash64("doc_id"), F.coalesce("copies", F.lit(1)))
+    return put.withColumn("shard", F.concat_ws("-", F.col("leaf"), F.when(F.col("parts") > 1, part), F.when(F.col("copies") > 1, F.concat(F.lit("c"), copy)))).select(*items.columns, "shard")
+
+
 def pack(documents: DataFrame, capacity: int, shards: int) -> DataFrame:
     """Container of every document: doc_id, piece, container_id, position, tokens.
 
@@ -129,8 +225,7 @@ def pack(documents: DataFrame, capacity: int, shards: int) -> DataFrame:
     take no space and join the shard's first container.
     """
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
-    items = rows.withColumn("shard", shard)
+    items = by_content(rows, shards)
     full = F.floor((F.col("tokens") - 1) / capacity).cast("int")
     whole = (
         items.where(F.col("tokens") > capacity)
