@@ -8,6 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tidemark.operators import strength
 from tidemark.plans import catalogue, records
 from tidemark.plans.adapters import matches
 from tidemark.session import table
@@ -32,3 +33,12 @@ def test_every_order_is_compared(spark, data):
 @pytest.mark.parametrize("name", ["interval_match_whole", "reconcile_one_to_one_whole", "record_diff_whole", "field_difference_stats_whole", "insert_only_merge"])
 def test_no_modulo_filter(name):
     assert "%" not in inspect.getsource(getattr(records, name))
+
+
+def test_rho_keeps_within_the_bounds_of_high_scores(spark):
+    low = [(1, 1, 0, 1.0, 1.0)] * 5 + [(2, 0, 0, 1.0, 1.0)] * 5 + [(3, 1, 1, 1.0, 1.0)] * 5
+    high = [(1, 5, 4, 4.0, 1.5), (2, 6, 0, 0.8, 5.0), (3, 3, 3, 3.0, 3.0)]
+    got = {r["league"]: r["rho"] for r in strength.fit_low_score_rho(spark.createDataFrame(low + high, "league long, gh long, ga long, lam double, mu double")).collect()}
+    assert got[1] == pytest.approx(1 / 6, abs=1e-4)
+    assert got[2] == pytest.approx(-0.2, abs=1e-4)
+    assert got[3] == pytest.approx(-1 / 3, abs=1e-4)

@@ -144,11 +144,16 @@ def golden_minimum(f, lo: float, hi: float, tol: float = 1e-7) -> float:  # noqa
 def fit_low_score_rho(rated: DataFrame) -> DataFrame:
     """Maximum likelihood rho per league from (league, gh, ga, lam, mu).
 
-    Only the four low cells carry information, so matches are first summed to
-    rows of equal cell and rounded rates before a league reaches one task.
+    rho lies where no match of the league, whatever its score, gets a negative
+    cell; where there is no such place it is 0.  Only the four low cells carry
+    likelihood, so those matches are first summed to rows of equal cell and
+    rounded rates before a league reaches one task.
     """
+    both = rated.where((F.col("lam") > 0) & (F.col("mu") > 0))
+    bounds = both.groupBy("league").agg(F.max(F.greatest(-1 / F.col("lam"), -1 / F.col("mu"))).alias("lo"), F.min(F.least(F.lit(1.0), 1 / (F.col("lam") * F.col("mu")))).alias("hi"))
     cell = F.col("gh") * 2 + F.col("ga")
     low = rated.where((F.col("gh") <= 1) & (F.col("ga") <= 1) & F.col("lam").isNotNull()).groupBy("league", cell.alias("cell"), F.round("lam", 4).alias("lam"), F.round("mu", 4).alias("mu")).agg(F.count(F.lit(1)).alias("n"))
+    low = low.join(bounds, "league", "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lam, mu, n, c = (pdf[x].to_numpy(dtype=float) for x in ("lam", "mu", "n", "cell"))
@@ -156,10 +161,10 @@ def fit_low_score_rho(rated: DataFrame) -> DataFrame:
         lam, mu, n, c = lam[ok], mu[ok], n[ok], c[ok]
         rho = 0.0
         if len(lam):
-            lo, hi = float(np.maximum(-1 / lam, -1 / mu).max()), float(np.minimum(1.0, 1 / (lam * mu)).min())
+            lo, hi = float(pdf["lo"].iloc[0]) + 1e-9, float(pdf["hi"].iloc[0]) - 1e-9
             slope = np.choose(c.astype(int), [-lam * mu, lam, mu, -np.ones(len(lam))])
             if lo < hi:
-                rho = golden_minimum(lambda r: -float((n * np.log(np.maximum(1 + slope * r, 1e-300))).sum()), lo + 1e-9, hi - 1e-9)
+                rho = golden_minimum(lambda r: -float((n * np.log(np.maximum(1 + slope * r, 1e-300))).sum()), lo, hi)
         return pd.DataFrame({"league": [pdf["league"].iloc[0]], "rho": [rho], "n": [int(n.sum())]})
 
     return low.groupBy("league").applyInPandas(run, RHO)
