@@ -8,7 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from tidemark.operators import strength
+from tidemark.operators import resampling, strength
 from tidemark.plans import catalogue, records
 from tidemark.plans.adapters import matches
 from tidemark.session import table
@@ -42,3 +42,10 @@ def test_rho_keeps_within_the_bounds_of_high_scores(spark):
     assert got[1] == pytest.approx(1 / 6, abs=1e-4)
     assert got[2] == pytest.approx(-0.2, abs=1e-4)
     assert got[3] == pytest.approx(-1 / 3, abs=1e-4)
+
+
+def test_bootstrap_takes_as_many_draws_as_the_reference(spark):
+    """A p value is a multiple of 2 / draws: one of 10,000 is finer than any of 1,000."""
+    df = spark.createDataFrame([("g", i, 0.22 + (-1.0) ** i) for i in range(100)], "g string, id long, v double")
+    p = resampling.bootstrap_means(df, "g", "v", "id").first()["p_value"]
+    assert 0 < p < 0.1 and round(p * 5000, 6) == round(p * 5000) and round(p * 500, 6) != round(p * 500)
