@@ -8,7 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from tidemark.operators import resampling, strength
+from tidemark.operators import calibration, resampling, strength
 from tidemark.plans import catalogue, records
 from tidemark.plans.adapters import matches
 from tidemark.session import table
@@ -49,3 +49,10 @@ def test_bootstrap_takes_as_many_draws_as_the_reference(spark):
     df = spark.createDataFrame([("g", i, 0.22 + (-1.0) ** i) for i in range(100)], "g string, id long, v double")
     p = resampling.bootstrap_means(df, "g", "v", "id").first()["p_value"]
     assert 0 < p < 0.1 and round(p * 5000, 6) == round(p * 5000) and round(p * 500, 6) != round(p * 500)
+
+
+def test_forecasts_are_fitted_as_they_are(spark):
+    df = spark.createDataFrame([("g", 0.30001, 0), ("g", 0.30002, 1), ("g", 0.30003, 1), ("g", 0.7, 1), ("g", 0.7, 0)], "g string, p double, y int")
+    assert rows(calibration.isotonic_curve(df, "g", "p", "y").select("x")) == [(0.30001,), (0.30002,), (0.30003,), (0.7,)]
+    near = spark.createDataFrame([("g", 0.00001 * k, int(k >= 5 and k != 7)) for k in range(1, 10)] + [("g", 0.00008, 0)], "g string, p double, y int")
+    assert calibration.logistic_recalibration(near, "g", "p", "y").first()["slope"] > 0.5

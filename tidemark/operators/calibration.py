@@ -94,13 +94,13 @@ def pava(y: np.ndarray, w: np.ndarray) -> np.ndarray:
 ISOTONIC = T.StructType([T.StructField("grp", T.StringType()), T.StructField("x", T.DoubleType()), T.StructField("fitted", T.DoubleType())])
 
 
-def isotonic_curve(df: DataFrame, group: str, p: str, y: str, digits: int = 4) -> DataFrame:
+def isotonic_curve(df: DataFrame, group: str, p: str, y: str) -> DataFrame:
     """Calibration curve per group: (grp, x, fitted), non-decreasing in x.
 
-    Forecasts are first combined per rounded value, so a group reaches its task
-    as at most 10^digits + 1 rows whatever its size.
+    Equal forecasts are first combined, unrounded: forecasts of k digits reach
+    their task as at most 10^k + 1 rows whatever the group's size.
     """
-    small = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(group).cast("string").alias("grp"), F.round(p, digits).alias("x")).agg(F.avg(F.col(y).cast("double")).alias("y"), F.count(F.lit(1)).alias("w"))
+    small = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(group).cast("string").alias("grp"), F.col(p).alias("x")).agg(F.avg(F.col(y).cast("double")).alias("y"), F.count(F.lit(1)).alias("w"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("x")
@@ -125,9 +125,9 @@ def irls(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 50) -> np.nda
     return b
 
 
-def logistic_recalibration(df: DataFrame, group: str, p: str, y: str, digits: int = 4) -> DataFrame:
-    """Intercept and slope of logit(outcome) on logit(forecast) per group, from combined rows."""
-    small = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(group).cast("string").alias("grp"), F.round(p, digits).alias("x"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("w"))
+def logistic_recalibration(df: DataFrame, group: str, p: str, y: str) -> DataFrame:
+    """Intercept and slope of logit(outcome) on logit(forecast) per group, equal forecasts combined unrounded."""
+    small = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(group).cast("string").alias("grp"), F.col(p).alias("x"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("w"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         q = np.clip(pdf["x"].to_numpy(), 1e-6, 1 - 1e-6)
