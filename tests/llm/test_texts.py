@@ -48,8 +48,42 @@ def test_packing_ignores_row_order_and_empty_tables(spark):
 
 def test_seed_takes_its_lexical_neighbours():
     texts = ["alpha beta gamma delta", "alpha beta", "omega psi", "alpha gamma", "psi chi"]
-    boxes = packing.pack_shard(list(range(5)), [6, 2, 2, 2, 2], texts, {}, 5, 2.4, 10)
+    both = [packing.term_counts(t, {}) for t in texts]
+    index = packing.Index(np.arange(5), [t for t, _ in both], [k for _, k in both], {}, 5, 2.4)
+    boxes = packing.fill_shard([6, 2, 2, 2, 2], [t for t, _ in both], index, 10, [])
     assert set(boxes[0]) == {0, 1, 3}
+    begun = packing.fill_shard([6, 2, 2, 2, 2], [t for t, _ in both], index, 10, [(0, 2)])
+    assert begun[0] in ([0, 1], [0, 3])
+
+
+def test_index_scores_equal_direct_bm25():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(30)], k=rng.randint(1, 25))) for _ in range(60)]
+    both = [packing.term_counts(t, {}) for t in texts]
+    df: dict = {}
+    for t, _ in both:
+        for w in t.tolist():
+            df[w] = df.get(w, 0) + 1
+    mean = sum(len(t.split()) for t in texts) / 60
+    index = packing.Index(np.arange(60), [t for t, _ in both], [k for _, k in both], df, 60, mean)
+    query = texts[0].split()
+    got = index.scores(packing.term_counts(texts[0], {})[0])
+    for d, t in enumerate(texts):
+        words = t.split()
+        want = 0.0
+        for w in set(query):
+            n = sum(w in x.split() for x in texts)
+            tf = words.count(w)
+            want += np.log1p((60 - n + 0.5) / (n + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words) / mean))
+        assert got[d] == pytest.approx(want)
+    assert list(index.ranked(got, 5)) == list(index.ranked(got))[:5]
+
+
+def test_best_fit_wastes_little():
+    sizes = [7, 5, 5, 3, 3, 2, 2, 1]
+    boxes = packing.best_fit(sizes, 10)
+    assert sorted(i for b in boxes for i in b) == list(range(8)) and all(sum(sizes[i] for i in b) <= 10 for b in boxes)
+    assert len(boxes) == 3 and packing.best_fit([], 10) == []
 
 
 def test_rake_meets_marginals_and_caps():

@@ -20,9 +20,10 @@ def sized(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, sf: str) -> DataFrame:
-    docs = cut(sized(spark, sf, "text"))
-    mass = docs.agg(F.sum(F.col("tokens").cast("long"))).first()[0] or 0
-    return packing.pack(docs, CAPACITY, max(1, round(mass / packing.SHARD_TOKENS)))
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.length("text").alias("chars"))
+    # Characters are known without reading tokens: about four make one.
+    mass = docs.agg(F.sum(F.col("chars").cast("long"))).first()[0] or 0
+    return packing.pack(docs.drop("chars"), CAPACITY, max(1, round(mass / 4 / packing.TOPIC_TOKENS)), sizes=True)
 
 
 @R.query("p7_containers")

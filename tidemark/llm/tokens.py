@@ -24,17 +24,18 @@ def load(path: str):
     return t
 
 
+def counts(tokenizer, texts: list[str]) -> list[int]:  # noqa: ANN001
+    """Tokens of each text, encoded in small batches."""
+    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+    return [len(e) for at in range(0, len(texts), BATCH) for e in encode(texts[at : at + BATCH], add_special_tokens=False)]
+
+
 def token_count(text: Column | str, path: str = DEFAULT_TOKENIZER) -> Column:
     """Tokens of a text (INT); NULL and empty texts have none."""
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenizer = load(path)
-        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         for batch in batches:
-            out: list[int] = []
-            for at in range(0, len(batch), BATCH):
-                texts = [t or "" for t in batch.iloc[at : at + BATCH]]
-                out.extend(len(e) for e in encode(texts, add_special_tokens=False))
-            yield pd.Series(out, dtype="int32")
+            yield pd.Series(counts(tokenizer, [t or "" for t in batch]), dtype="int32")
 
     return F.pandas_udf(count, T.IntegerType())(text)
