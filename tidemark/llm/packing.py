@@ -197,23 +197,32 @@ def fit_topics(documents: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarra
     if shards <= 1:
         return np.zeros((1, BUCKETS)), np.ones(1), np.ones(BUCKETS)
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def counts(texts: pd.Series) -> pd.Series:
+    chosen = documents.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCUMENTS)
+    words = T.StructType([T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("tfs", T.ArrayType(T.IntegerType()))])
+
+    @F.pandas_udf(words)
+    def counted(texts: pd.Series) -> pd.DataFrame:
         known: dict[str, int] = {}
-        return pd.Series([np.bincount(t.astype(np.int64) % BUCKETS, weights=k / (k + K1), minlength=BUCKETS).astype("float32") if len(t) else np.zeros(BUCKETS, dtype="float32") for t, k in (term_counts(x, known) for x in texts)])
+        both = [term_counts(t, known) for t in texts]
+        return pd.DataFrame({"terms": [t for t, _ in both], "tfs": [k for _, k in both]})
 
-    chosen = documents.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCUMENTS)
-    some = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", counts("text").alias("x")).toPandas().sort_values("doc_id")
-    if not len(some):
+    fitted = T.StructType([T.StructField(c, T.BinaryType()) for c in ("centres", "mass", "idf")])
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id")
+        x = topic_vectors(pdf["terms"].tolist(), pdf["tfs"].tolist(), np.ones(BUCKETS))
+        idf = np.log1p(len(x) / (1 + (x > 0).sum(0)))
+        x *= idf
+        x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+        c = k_means(x, min(shards, TOPICS))
+        held = np.bincount((x @ c.T).argmax(1), weights=pdf["terms"].str.len(), minlength=len(c))
+        return pd.DataFrame({"centres": [c.tobytes()], "mass": [(held * shards / max(held.sum(), 1)).tobytes()], "idf": [idf.tobytes()]})
+
+    some = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", counted("text").alias("x")).select("doc_id", "x.*")
+    row = some.groupBy().applyInPandas(fit, fitted).first()
+    if row is None:
         return np.zeros((1, BUCKETS)), np.ones(1), np.ones(BUCKETS)
-    x = np.array(some["x"].tolist(), dtype=float)
-    words = (x > 0).sum(1)
-    idf = np.log1p(len(x) / (1 + (x > 0).sum(0)))
-    x *= idf
-    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
-    c = k_means(x, min(shards, TOPICS))
-    words = np.bincount((x @ c.T).argmax(1), weights=words, minlength=len(c))
-    return c, words * shards / max(words.sum(), 1), idf
+    return np.frombuffer(row["centres"]).reshape(-1, BUCKETS), np.frombuffer(row["mass"]), np.frombuffer(row["idf"])
 
 
 def read_documents(documents: DataFrame, centres: np.ndarray, mass: np.ndarray, idf: np.ndarray, path: str = tok.DEFAULT_TOKENIZER, sizes: bool = True) -> DataFrame:
