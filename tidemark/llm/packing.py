@@ -31,6 +31,8 @@ K1, B = 1.2, 0.75
 TOPIC_TOKENS = 250_000
 #: Shares that one shard holds at most, that a seed asks, and neighbours that a shard returns for it.
 SHARD_SHARES, ASKED_SHARES, NEIGHBOURS = 8, 24, 32
+#: Cells of the dense part of an index.
+DENSE_CELLS = 8_000_000
 #: Documents that the topics are fitted on, at most; topics at most; buckets that words are hashed to for topics.
 SAMPLE_DOCUMENTS, TOPICS, BUCKETS = 5_000, 512, 2048
 #: Documents without tokens that share a container, on average at most.
@@ -50,13 +52,10 @@ _WORD = re.compile(r"[^\W_]+")
 
 def term_counts(text: str | None, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed distinct words of a text and how often each occurs; `known` keeps hashes already taken."""
-    counts: Counter = Counter()
-    for w in _WORD.findall((text or "").lower()):
-        k = known.get(w)
-        if k is None:
-            k = known[w] = zlib.crc32(w.encode()) - 2**31
-        counts[k] += 1
-    return np.fromiter(counts.keys(), np.int32, len(counts)), np.fromiter(counts.values(), np.int32, len(counts))
+    counts = Counter(_WORD.findall((text or "").lower()))
+    for w in counts.keys() - known.keys():
+        known[w] = zlib.crc32(w.encode()) - 2**31
+    return np.fromiter((known[w] for w in counts), np.int32, len(counts)), np.fromiter(counts.values(), np.int32, len(counts))
 
 
 class Index:
@@ -78,18 +77,41 @@ class Index:
         by_term = np.argsort(col, kind="stable")
         self.start = np.searchsorted(col[by_term], np.arange(len(self.vocab) + 1))
         self.doc, self.weight = row[by_term], weight[by_term]
+        # The most frequent terms also as dense rows, for many queries at once; the cells are bounded.
+        often = np.argsort(-np.diff(self.start), kind="stable")[: DENSE_CELLS // max(self.n, 1)]
+        self.dense_row = np.full(len(self.vocab), -1)
+        self.dense_row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.n), dtype=np.float32)
+        at = self.dense_row[col]
+        np.add.at(self.dense, (at[at >= 0], row[at >= 0]), weight[at >= 0])
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """Score of every document for a query of distinct terms."""
+        return self.many_scores([terms])[0]
+
+    def many_scores(self, queries: list[np.ndarray]) -> np.ndarray:
+        """Scores of every document (columns) for several queries (rows)."""
+        out = np.zeros((len(queries), self.n))
+        of = np.repeat(np.arange(len(queries)), [len(q) for q in queries])
+        terms = np.concatenate(queries)
         at = np.searchsorted(self.vocab, terms)
         known = at < len(self.vocab)
         known[known] = self.vocab[at[known]] == terms[known]
-        at = at[known]
+        at, of = at[known], of[known]
         if not len(at):
-            return np.zeros(self.n)
-        lo, n = self.start[at], self.start[at + 1] - self.start[at]
-        where = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return np.bincount(self.doc[where], weights=self.weight[where], minlength=self.n)
+            return out
+        row = self.dense_row[at]
+        if (row >= 0).any():
+            q = np.zeros((len(queries), len(self.dense)), dtype=np.float32)
+            np.add.at(q, (of[row >= 0], row[row >= 0]), 1)
+            out += q @ self.dense
+        at, of = at[row < 0], of[row < 0]
+        if len(at):
+            lo, n = self.start[at], self.start[at + 1] - self.start[at]
+            where = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            flat = np.repeat(of * self.n, n) + self.doc[where]
+            out += np.bincount(flat, weights=self.weight[where], minlength=out.size).reshape(out.shape)
+        return out
 
     def ranked(self, score: np.ndarray, most: int | None = None) -> np.ndarray:
         """Documents of positive score, best first."""
@@ -243,8 +265,8 @@ def read_documents(documents: DataFrame, centres: np.ndarray, mass: np.ndarray,
                 n = tok.counts(tokenizer, texts) if sizes else some["tokens"].fillna(0).astype("int32").to_numpy()
                 both = [term_counts(t, known) for t in texts]
                 x = topic_vectors([t for t, _ in both], [k for _, k in both], idf)
-                # Sums in one fixed order, so that equal texts get the same topics in any batch.
-                near = np.argsort(-np.round(np.einsum("nd,kd->nk", x, centres), 9), axis=1, kind="stable").astype("int32")
+                # Rounded, so that equal texts get the same topics in any batch.
+                near = np.argsort(-np.round(x @ centres.T, 9), axis=1, kind="stable").astype("int32")
                 held = np.cumsum(mass[near], axis=1) - mass[near] < ASKED_SHARES
                 yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "tokens": n, "terms": [t for t, _ in both], "tfs": [k for _, k in both], "near": [r[h] for r, h in zip(near, held, strict=True)]})
 
@@ -298,12 +320,14 @@ def neighbours(items: DataFrame, seeds: DataFrame, stats: DataFrame, fits: bool
             ids = docs["doc_id"].to_numpy()
             row = about.iloc[0]
             index = Index(ids, docs["terms"].tolist(), docs["tfs"].tolist(), dict(zip(row["terms"].tolist(), row["dfs"].tolist(), strict=True)), int(row["n_docs"]), float(row["mean_len"]))
-            for seed, terms in zip(queries["seed"], queries["terms"], strict=True):
-                score = index.scores(terms)
-                score[ids == int(seed)] = 0
-                best = index.ranked(score, NEIGHBOURS)
-                out.append(pd.DataFrame({"seed": int(seed), "doc_id": ids[best], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"seed": np.zeros(0, "int64"), "doc_id": np.zeros(0, "int64"), "score": np.zeros(0)})
+            terms, seeds = queries["terms"].tolist(), queries["seed"].to_numpy(dtype="int64")
+            step = max(1, DENSE_CELLS // max(index.n, 1) // 2)
+            for k in range(0, len(seeds), step):
+                for seed, score in zip(seeds[k : k + step], np.round(index.many_scores(terms[k : k + step]), 4), strict=True):
+                    best = index.ranked(score, NEIGHBOURS)
+                    out.append((np.full(len(best), seed), ids[best], score[best]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)]
+        return pd.DataFrame(dict(zip(("seed", "doc_id", "score"), columns, strict=True)))
 
     return items.select("shard", "doc_id", "terms", "tfs").groupBy("shard").cogroup(asked.unionByName(known).groupBy("shard")).applyInPandas(run, NEAR)
 
