@@ -50,12 +50,18 @@ PACKED = T.StructType(
 _WORD = re.compile(r"[^\W_]+")
 
 
-def term_counts(text: str | None, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed distinct words of a text and how often each occurs; `known` keeps hashes already taken."""
+class Hashes(dict):
+    """Words and their hashes, each taken once."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = zlib.crc32(word.encode()) - 2**31
+        return h
+
+
+def term_counts(text: str | None, known: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed distinct words of a text and how often each occurs."""
     counts = Counter(_WORD.findall((text or "").lower()))
-    for w in counts.keys() - known.keys():
-        known[w] = zlib.crc32(w.encode()) - 2**31
-    return np.fromiter((known[w] for w in counts), np.int32, len(counts)), np.fromiter(counts.values(), np.int32, len(counts))
+    return np.fromiter(map(known.__getitem__, counts), np.int32, len(counts)), np.fromiter(counts.values(), np.int32, len(counts))
 
 
 class Index:
@@ -224,7 +230,7 @@ def fit_topics(documents: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarra
 
     @F.pandas_udf(words)
     def counted(texts: pd.Series) -> pd.DataFrame:
-        known: dict[str, int] = {}
+        known = Hashes()
         both = [term_counts(t, known) for t in texts]
         return pd.DataFrame({"terms": [t for t, _ in both], "tfs": [k for _, k in both]})
 
@@ -257,7 +263,7 @@ def read_documents(documents: DataFrame, centres: np.ndarray, mass: np.ndarray,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = tok.load(path) if sizes else None
-        known: dict[str, int] = {}
+        known = Hashes()
         for pdf in batches:
             for at in range(0, len(pdf), 512):
                 some = pdf.iloc[at : at + 512]

@@ -10,12 +10,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Texts encoded at once; bounds the memory of their encodings.
 BATCH = 64
+#: Fixed value: how the byte-level vocabulary cuts a text before merging bytes.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def load(path: str):
+    """Tokenizer of a file: byte ranks (.tiktoken) or a tokenizer description (.json)."""
+    if path.endswith(".tiktoken"):
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
@@ -26,6 +37,8 @@ def load(path: str):
 
 def counts(tokenizer, texts: list[str]) -> list[int]:  # noqa: ANN001
     """Tokens of each text, encoded in small batches."""
+    if hasattr(tokenizer, "encode_ordinary"):
+        return [len(tokenizer.encode_ordinary(t)) for t in texts]
     encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
     return [len(e) for at in range(0, len(texts), BATCH) for e in encode(texts[at : at + BATCH], add_special_tokens=False)]
 
