@@ -20,6 +20,8 @@ _MIXED = re.compile("[а-яіјѕԁА-ЯІЈЅα-ωΑ-Ω]")
 _LATIN = re.compile("[A-Za-z]")
 #: Tokens of a training piece.
 PIECE = 48
+#: Tokens, padding included, of texts that are run side by side.
+PADDED_TOKENS = 400_000
 FLAGS = ("masked", "mixed", "hidden", "stretched", "spaced", "leet", "caps", "name")
 
 
@@ -172,7 +174,18 @@ class Model:
         self.threshold = threshold
 
     def marginals(self, feats: list[np.ndarray]) -> list[np.ndarray]:
-        return forward_backward([self.weights[f].sum(1) for f in feats], self.trans)[0]
+        """P(offending) of each token of each text; texts of like length are run together."""
+        scores = [self.weights[f].sum(1) for f in feats]
+        order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
+        out: list[np.ndarray] = [np.zeros(0)] * len(scores)
+        at = 0
+        while at < len(order):
+            # Arrays are as long as the group's longest text, so a book runs with few others.
+            part = order[at : at + max(1, PADDED_TOKENS // max(len(scores[order[at]]), 1))]
+            for i, p in zip(part, forward_backward([scores[i] for i in part], self.trans)[0], strict=True):
+                out[i] = p
+            at += len(part)
+        return out
 
     def fit(self, feats: list[np.ndarray], labels: list[np.ndarray], epochs: int = 8, batch: int = 128, rate: float = 0.3, l2: float = 1e-5, seed: int = 5) -> Model:
         """AdaGrad on the conditional likelihood of the token labels.

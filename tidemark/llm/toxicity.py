@@ -22,6 +22,8 @@ from tidemark.llm import crf
 
 #: Labelled documents that the model is fitted on, at most, per class.
 SAMPLE_PER_CLASS = 3000
+#: Texts read at once.
+TEXTS = 1024
 
 SCORED = T.StructType(
     [
@@ -86,8 +88,8 @@ def score(documents: DataFrame, model: crf.Model) -> DataFrame:
         weights, trans, threshold = shared.value
         m, enc = crf.Model(weights, trans, threshold), crf.Encoder()
         for whole in batches:
-            for at in range(0, len(whole), 512):
-                pdf = whole.iloc[at : at + 512]
+            for at in range(0, len(whole), TEXTS):
+                pdf = whole.iloc[at : at + TEXTS]
                 read = [enc.features(t or "") for t in pdf["text"]]
                 probs = m.marginals([f for f, _ in read])
                 scores = [crf.document_score(p) for p in probs]
