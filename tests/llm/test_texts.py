@@ -48,7 +48,7 @@ def test_packing_ignores_row_order_and_empty_tables(spark):
 
 def test_seed_takes_its_lexical_neighbours():
     texts = ["alpha beta gamma delta", "alpha beta", "omega psi", "alpha gamma", "psi chi"]
-    both = [packing.term_counts(t, {}) for t in texts]
+    both = [packing.term_counts(t, packing.Hashes()) for t in texts]
     index = packing.Index(np.arange(5), [t for t, _ in both], [k for _, k in both], {}, 5, 2.4)
     boxes = packing.fill_shard([6, 2, 2, 2, 2], [t for t, _ in both], index, 10, [])
     assert set(boxes[0]) == {0, 1, 3}
@@ -59,7 +59,7 @@ def test_seed_takes_its_lexical_neighbours():
 def test_index_scores_equal_direct_bm25():
     rng = random.Random(5)
     texts = [" ".join(rng.choices([f"w{i}" for i in range(30)], k=rng.randint(1, 25))) for _ in range(60)]
-    both = [packing.term_counts(t, {}) for t in texts]
+    both = [packing.term_counts(t, packing.Hashes()) for t in texts]
     df: dict = {}
     for t, _ in both:
         for w in t.tolist():
@@ -67,7 +67,7 @@ def test_index_scores_equal_direct_bm25():
     mean = sum(len(t.split()) for t in texts) / 60
     index = packing.Index(np.arange(60), [t for t, _ in both], [k for _, k in both], df, 60, mean)
     query = texts[0].split()
-    got = index.scores(packing.term_counts(texts[0], {})[0])
+    got = index.scores(packing.term_counts(texts[0], packing.Hashes())[0])
     for d, t in enumerate(texts):
         words = t.split()
         want = 0.0
@@ -126,11 +126,27 @@ def test_token_counts_round_trip(spark):
     texts = ["Goal!", "", None, "<|endoftext|> is text", "ñandú " * 50]
     got = spark.createDataFrame([(x,) for x in texts], "text string").select("text", tokens.token_count(F.col("text")).alias("n")).collect()
     for r in got:
-        ids = t.encode(r["text"] or "", add_special_tokens=False).ids
+        ids = t.encode_ordinary(r["text"] or "")
         assert r["n"] == len(ids)
         assert t.decode(ids) == (r["text"] or "")
 
 
+def test_both_files_of_a_vocabulary_count_alike():
+    texts = ["It's 3-0, Zoë!  Next  week\n\n", "", "don't we'll they've", "très \u200b мяч 你好"]
+    ranks, described = tokens.load(tokens.DEFAULT_TOKENIZER), tokens.load("/opt/tokenizers/byte_bpe_50k.json")
+    assert tokens.counts(ranks, texts) == tokens.counts(described, texts)
+
+
+def test_long_texts_do_not_widen_the_arrays_of_others(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = crf.Model(rng.normal(size=crf.FEATURES))
+    feats = [rng.integers(0, crf.FEATURES, size=(n, 7)) for n in (3, 900, 0, 40, 41, 7)]
+    whole = model.marginals(feats)
+    monkeypatch.setattr(crf, "PADDED_TOKENS", 100)
+    for a, b in zip(whole, model.marginals(feats), strict=True):
+        assert np.allclose(a, b)
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(2)
     trans = rng.normal(size=(2, 2))

@@ -27,6 +27,9 @@ BLOCK_ROWS = 20_000
 def rake(mass: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray], cap: np.ndarray, rounds: int = 500, tol: float = 1e-10) -> np.ndarray:
     """Expected copies per cell: mass * copies has the marginals `goals`, copies stay within `cap`.
 
+    Where the caps allow no such table, the rounds end without one; `mix_report`
+    shows what each class missed.
+
     `codes` gives each cell's class per dimension, the first being the source,
     whose goals are met last in each round and so hold exactly where caps allow.
     """
@@ -94,30 +97,30 @@ def with_cells(documents: DataFrame) -> DataFrame:
     )
 
 
-#: Starting points tried per block for the systematic draw.
-STARTS = 32
+#: Starting points tried per block for the systematic draw, and single changes per source after it.
+STARTS, FIXES = 32, 5
 
 
 def mix(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """doc_id, source, tokens, copies: how often each document enters the mixture (0: not at all).
 
-    Each block of a source is sorted by size and drawn at even steps of the
-    planned copies, from the starting point that comes closest to the planned
-    tokens.  Documents of sources without target, or without tokens, enter 0
-    times.
+    Each block of a source is sorted by language, topic and size and drawn at
+    even steps of the planned copies, so that every cell gets its number of
+    documents to one more or less, from the starting point that comes closest
+    to the planned tokens.  Then each source changes one document at a time by
+    one copy, while that brings source, language and topic nearer to the plan.  Documents of sources
+    without target, or without tokens, enter 0 times.
     """
     docs = with_cells(documents)
     goals = targets.select(norm_key(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").cast("int").alias("max_repeats"))
-    # Cells: sources of the target list x languages x competitions, a few hundred rows.
-    cells = cut(docs.groupBy(*DIMS).agg(F.sum("tokens").cast("double").alias("tokens"), F.count(F.lit(1)).alias("rows")).join(F.broadcast(goals), "source"))
+    cells = cut(docs.groupBy(*DIMS).agg(F.sum("tokens").cast("double").alias("tokens"), F.count(F.lit(1)).alias("rows")).join(goals, "source"))
     planned = cells.groupBy().applyInPandas(lambda pdf: plan_cells(pdf), CELL)
     blocks = cells.groupBy("source").agg(F.ceil(F.sum("rows") / BLOCK_ROWS).alias("blocks"))
-    # The plan has one row per cell of the target list, so it is small by its making.
     plan = cut(planned.join(blocks, "source"))
-    rows = docs.join(F.broadcast(plan), DIMS, "left")
+    rows = docs.join(plan, DIMS, "left")
     inside = F.col("copies").isNotNull() & (F.coalesce("tokens", F.lit(0)) > 0)
     drawn = rows.where(inside).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.col("blocks")))
-    w = Window.partitionBy("source", "block").orderBy("tokens", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("source", "block").orderBy("lang", "topic", "tokens", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     drawn = drawn.withColumn("upto", F.sum(F.col("copies").cast("decimal(28,12)")).over(w))
     copies = F.col("copies").cast("decimal(28,12)")
 
@@ -127,9 +130,37 @@ def mix(documents: DataFrame, targets: DataFrame) -> DataFrame:
 
     off = [F.abs(F.sum(steps((k + 0.5) / STARTS) * F.col("tokens")) - F.sum(F.col("copies") * F.col("tokens"))) for k in range(STARTS)]
     tried = drawn.groupBy("source", "block").agg(F.array_min(F.array(*[F.struct(o.alias("off"), F.lit((k + 0.5) / STARTS).alias("start")) for k, o in enumerate(off)]))["start"].alias("start"))
-    taken = drawn.join(tried, ["source", "block"]).select("doc_id", "source", "tokens", steps(F.col("start").cast("decimal(28,12)")).cast("int").alias("copies"))
+    taken = cut(drawn.join(tried, ["source", "block"]).select("doc_id", *DIMS, "tokens", "max_repeats", F.col("copies").alias("planned"), steps(F.col("start").cast("decimal(28,12)")).cast("int").alias("copies")))
+    for _ in range(FIXES):
+        taken = nearer(taken)
     out = rows.where(~inside).select("doc_id", "source", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.lit(0).alias("copies"))
-    return taken.unionByName(out)
+    return taken.select("doc_id", "source", "tokens", "copies").unionByName(out)
+
+
+def nearer(taken: DataFrame) -> DataFrame:
+    """Per source one document more or less often, the one that most lessens the distance from the plan.
+
+    The distance counts the tokens that the document's source (three times, so
+    that sources stay first), language and topic miss.
+    """
+    mass = lambda c: F.sum(F.col("tokens") * F.col(c))
+    near = taken
+    for d in DIMS:
+        near = near.join(taken.groupBy(d).agg((mass("planned") - mass("copies")).alias(f"missing_{d}")), d)
+    weighted = [(3 if d == "source" else 1, F.col(f"missing_{d}")) for d in DIMS]
+
+    def gain(sign: int) -> Column:
+        allowed = F.col("copies") < F.col("max_repeats") if sign > 0 else F.col("copies") > 0
+        terms = [w * (F.abs(m) - F.abs(m - sign * F.col("tokens"))) for w, m in weighted]
+        kept = F.abs(F.col("missing_source") - sign * F.col("tokens")) <= F.abs("missing_source") + F.col("room")
+        return F.when(allowed & kept, F.struct(sum(terms[1:], terms[0]).alias("gain"), F.lit(sign).alias("sign")))
+
+    # A source may lose a little, a thousandth of its plan, where language and topic gain more.
+    room = taken.groupBy("source").agg((mass("planned") / 1000).alias("room"))
+    near = near.join(room, "source").withColumn("g", F.greatest(gain(1), gain(-1))).where("g.gain > 0")
+    best = near.groupBy("source").agg(F.max(F.struct("g.gain", -F.col("doc_id"), "doc_id", "g.sign")).alias("b"))
+    moves = best.select("source", F.col("b.doc_id").alias("doc_id"), F.col("b.sign").alias("sign"))
+    return cut(taken.join(moves, ["source", "doc_id"], "left").withColumn("copies", F.col("copies") + F.coalesce("sign", F.lit(0))).drop("sign"))
 
 
 def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
@@ -149,3 +180,20 @@ def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
         F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
         F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"),
     )
+
+
+def mix_report(mixed: DataFrame, documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """dimension, class, goal_share, actual_share, missed: sources, languages and topics of the mixture against their goals.
+
+    A source's goal is its reachable share; a language's or topic's goal is its
+    share of the tokens of the sources that have a target.
+    """
+    goals = targets.select(norm_key(F.col("source")).alias("source"), "target_share").where("source is not null and target_share > 0").groupBy("source").agg(F.max("target_share").alias("target_share"))
+    cells = with_cells(documents).where("tokens > 0").join(mixed.select("doc_id", "copies"), "doc_id").groupBy(*DIMS).agg(F.sum(F.col("tokens").cast("long")).alias("have"), F.sum(F.col("tokens").cast("long") * F.col("copies")).alias("got")).join(goals, "source")
+    dims = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("class")) for d in DIMS])).alias("d")
+    per = cells.select(dims, "have", "got", "target_share").select("d.*", "have", "got", "target_share").groupBy("dimension", "class").agg(F.sum("have").alias("have"), F.sum("got").alias("got"), F.max("target_share").alias("target_share"))
+    weight = F.when(F.col("dimension") == "source", F.col("target_share")).otherwise(F.col("have"))
+    w = Window.partitionBy("dimension")
+    share = lambda c: F.try_divide(c, F.sum(c).over(w))
+    out = per.select("dimension", "class", share(weight).alias("goal_share"), share(F.col("got")).alias("actual_share"))
+    return out.withColumn("missed", F.col("actual_share") - F.col("goal_share"))

@@ -45,3 +45,11 @@ def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
 @R.query("p8_shares")
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.share_report(cut(p8_mixture(spark, sf)), table(spark, sf, "mix_targets"))
+
+
+@R.query("p8_marginals")
+def p8_marginals(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of sources, languages and topics in the mixture, with what each misses."""
+    docs = cut(sized(spark, sf, "source", "lang", "competition"))
+    targets = table(spark, sf, "mix_targets")
+    return mixing.mix_report(mixing.mix(docs, targets), docs, targets)
