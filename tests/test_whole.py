@@ -18,19 +18,19 @@ Q = catalogue.REGISTRY.queries
 
 def test_every_match_gets_a_status(spark, data):
     ids = rows(matches(spark, data).select("match_id"))
-    assert rows(Q["interval_match_whole"](spark, data).select("left_id")) == ids
+    assert rows(Q["interval_match"](spark, data).select("left_id")) == ids
     keys = matches(spark, data).select("league", "home", "away", F.floor(F.col("kick") / 24).alias("day")).distinct()
-    assert keys.exceptAll(Q["reconcile_one_to_one_whole"](spark, data).where("status <> 'right_only'").select(*keys.columns)).count() == 0
+    assert keys.exceptAll(Q["reconcile_one_to_one"](spark, data).where("status <> 'right_only'").select(*keys.columns)).count() == 0
 
 
 def test_every_order_is_compared(spark, data):
     orders = table(spark, data, "orders")
-    assert Q["record_diff_whole"](spark, data).where("change <> 'new'").count() == orders.count()
-    assert {r["change"] for r in Q["record_diff_whole"](spark, data).select("change").distinct().collect()} == {"new", "missing", "modified", "unchanged"}
-    assert Q["field_difference_stats_whole"](spark, data).first()["n"] == orders.count()
+    assert Q["record_diff"](spark, data).where("change <> 'new'").count() == orders.count()
+    assert {r["change"] for r in Q["record_diff"](spark, data).select("change").distinct().collect()} == {"new", "missing", "modified", "unchanged"}
+    assert Q["field_difference_stats"](spark, data).first()["n"] == orders.count()
 
 
-@pytest.mark.parametrize("name", ["interval_match_whole", "reconcile_one_to_one_whole", "record_diff_whole", "field_difference_stats_whole", "insert_only_merge"])
+@pytest.mark.parametrize("name", ["interval_match", "reconcile_one_to_one", "record_diff", "field_difference_stats", "insert_only_merge"])
 def test_no_modulo_filter(name):
     assert "%" not in inspect.getsource(getattr(records, name))
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scoring import right_closed_bin
+from tidemark.operators.pit import running_as_of
 
 
 def bin_rows(df: DataFrame, p: str, y: str, bins: int, by: list[str] | None = None) -> DataFrame:
@@ -59,10 +60,11 @@ def quantile_bin(df: DataFrame, x: str, parts: int, by: list[str] | None = None)
     return joined.withColumn("part", F.size(F.filter("_edges", lambda e: e < F.col(x)))).drop("_edges")
 
 
-def walk_forward_scale(df: DataFrame, key: list[str], at: str, actual: str, expected: str, least: int = 30) -> Column:
-    """sum(actual) / sum(expected) over the key's rows strictly before; NULL with fewer than `least` of them."""
-    w = Window.partitionBy(*key).orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
-    return F.when(F.count(actual).over(w) >= least, F.try_divide(F.sum(actual).over(w), F.sum(expected).over(w)))
+def walk_forward_scale(df: DataFrame, key: list[str], at: str, actual: str, expected: str, least: int = 30) -> DataFrame:
+    """Add `scale`: sum(actual) / sum(expected) over the key's rows strictly before; NULL with fewer than `least` of them."""
+    facts = df.select(*key, F.col(at).alias("_known"), F.col(actual).alias("_a"), F.col(expected).alias("_e"), F.col(actual).isNotNull().cast("int").alias("_one"))
+    d = running_as_of(facts, df, key, "_known", at, {"_sa": "_a", "_se": "_e", "_n": "_one"}, strict=True)
+    return d.withColumn("scale", F.when(F.col("_n") >= least, F.try_divide("_sa", "_se"))).drop("_sa", "_se", "_n")
 
 
 def chronological_split(df: DataFrame, group: list[str], order: list[str], shares: tuple[float, float] = (0.4, 0.3)) -> DataFrame:

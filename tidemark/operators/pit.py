@@ -18,21 +18,31 @@ def latest_as_of(facts: DataFrame, key: list[str], known: str, at: Column, stric
     return seen.withColumn("_last", last).where(F.col("_last") == F.col(known)).drop("_last")
 
 
-def running_as_of(facts: DataFrame, decisions: DataFrame, key: list[str], known: str, at: str, sums: dict[str, str], strict: bool = False) -> DataFrame:
-    """Decisions with the sums over all facts of their key known by then, in one pass.
+def cumulated(facts: DataFrame, times: DataFrame, key: list[str], known: str, at: str, sums: dict[str, str], strict: bool = False) -> DataFrame:
+    """(key, at, sums): totals of all facts of a key known by each of the asked times.
 
-    Instead of a range join, facts (first combined per key and instant) and
-    decisions are laid on one time line per key and summed along it.  `sums`
-    maps result name -> fact column; a key without facts gives 0.  At equal
-    times a fact counts unless `strict`.
+    Facts are first combined per key and instant, asked times made distinct, so
+    a key's time line is as long as the calendar has instants, not as its facts
+    are many.  At equal times a fact counts unless `strict`.
     """
-    per = facts.where(F.col(known).isNotNull()).groupBy(*key, F.col(known).alias("_t")).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    carried = [c for c in decisions.columns]
-    d = decisions.select(*[F.col(k) for k in key], F.col(at).alias("_t"), F.struct(*carried).alias("_d"), F.lit(0 if strict else 1).alias("_o"))
-    line = per.select(*key, "_t", F.lit(None).cast(d.schema["_d"].dataType).alias("_d"), F.lit(1 if strict else 0).alias("_o"), *sums).unionByName(d, allowMissingColumns=True)
-    w = Window.partitionBy(*key).orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    per = facts.where(F.col(known).isNotNull()).groupBy(*key, F.col(known).alias("_t")).agg(*[F.sum(c).alias(n) for n, c in sums.items()]).withColumn("_asked", F.lit(False))
+    asked = times.select(*key, F.col(at).alias("_t")).where("_t is not null").distinct().withColumn("_asked", F.lit(True))
+    line = per.unionByName(asked, allowMissingColumns=True).groupBy(*key, "_t").agg(*[F.sum(n).alias(n) for n in sums], F.bool_or("_asked").alias("_asked"))
+    w = Window.partitionBy(*key).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
     totals = [F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in sums]
-    return line.select("_d", *totals).where("_d is not null").select("_d.*", *sums)
+    return line.select(*key, F.col("_t").alias(at), "_asked", *totals).where("_asked").drop("_asked")
+
+
+def running_as_of(facts: DataFrame, decisions: DataFrame, key: list[str], known: str, at: str, sums: dict[str, str], strict: bool = False) -> DataFrame:
+    """Decisions with the sums over all facts of their key known by then.
+
+    `sums` maps result name -> fact column; a key without facts, or with a NULL
+    part or time, gives 0.  Decisions meet their totals on key and time, so a
+    key that holds most decisions is spread over its times.
+    """
+    totals = cumulated(facts, decisions, key, known, at, sums, strict)
+    joined = decisions.join(totals, [*key, at], "left")
+    return joined.select(*decisions.columns, *[F.coalesce(n, F.lit(0)).alias(n) for n in sums])
 
 
 def scd2_windows(log: DataFrame, key: str, start: str, payload: list[str], order: str) -> DataFrame:

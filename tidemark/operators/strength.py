@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.ordered import ordered_scan
-from tidemark.operators.pit import running_as_of
+from tidemark.operators.pit import cumulated, running_as_of
 
 #: Least strength ratio.
 FLOOR = 1e-9
@@ -25,27 +26,37 @@ def long_form(matches: DataFrame, scored: str = "gh", conceded: str = "ga") -> D
     return side("home", True, scored, conceded).unionByName(side("away", False, conceded, scored))
 
 
+def strength_ratio(total: Column, n: Column, base: Column) -> Column:
+    """A team's goals per match over the league's base, at least FLOOR; 1 without history."""
+    return F.when(n > 0, F.greatest(F.try_divide(total / n, F.greatest(base, F.lit(FLOOR))), F.lit(FLOOR))).otherwise(1.0)
+
+
+def home_factor(home_goals: Column, away_goals: Column) -> Column:
+    """Home over away goals, at least FLOOR; 1 while the away sides have none."""
+    return F.when(away_goals > 0, F.greatest(home_goals / away_goals, F.lit(FLOOR))).otherwise(1.0)
+
+
 def strengths_as_of(matches: DataFrame, decisions: DataFrame, scored: str = "gh", conceded: str = "ga", strict: bool = False) -> DataFrame:
     """Decisions (match_id, league, home, away, at) with lam and mu from everything known by `at`.
 
-    base = league goals per side and match; hfa = square root of home over away
-    goals (1 while a side has none); attack and defence = a team's own rate over the base.  Teams without
-    history count 1; with no league history both rates are NULL.
+    base = league goals per side and match; attack and defence = a team's own
+    rate over the base, 1 without history; lam = base x attack x the other
+    side's defence x home factor, mu = base x attack x defence.  With no league
+    history both are NULL.
     """
     league_facts = matches.select("league", "known", F.col(scored).cast("double").alias("h"), F.col(conceded).cast("double").alias("a"), F.lit(1).alias("one"))
     d = running_as_of(league_facts, decisions, ["league"], "known", "at", {"lg_h": "h", "lg_a": "a", "lg_n": "one"}, strict)
     teams = long_form(matches, scored, conceded).select("league", "team", "known", "scored", "conceded", F.lit(1).alias("one"))
+    asked = decisions.select("league", "at", F.explode(F.array("home", "away")).alias("team"))
+    line = cumulated(teams, asked, ["league", "team"], "known", "at", {"for": "scored", "against": "conceded", "n": "one"}, strict)
     for side in ("home", "away"):
-        d = d.withColumn("team", F.col(side))
-        d = running_as_of(teams, d, ["league", "team"], "known", "at", {f"{side}_for": "scored", f"{side}_against": "conceded", f"{side}_n": "one"}, strict).drop("team")
-    base = F.try_divide(F.col("lg_h") + F.col("lg_a"), 2 * F.col("lg_n"))
-    hfa = F.when((F.col("lg_h") > 0) & (F.col("lg_a") > 0), F.sqrt(F.try_divide("lg_h", "lg_a"))).otherwise(1.0)
-
-    def ratio(total: str, n: str) -> Column:
-        return F.when(F.col(n) > 0, F.greatest(F.try_divide(F.col(total) / F.col(n), F.greatest(base, F.lit(FLOOR))), F.lit(FLOOR))).otherwise(1.0)
-
-    lam = base * ratio("home_for", "home_n") * ratio("away_against", "away_n") * hfa
-    mu = base * ratio("away_for", "away_n") * ratio("home_against", "home_n") / hfa
+        own = line.select("league", F.col("team").alias(side), "at", *[F.col(c).alias(f"{side}_{c}") for c in ("for", "against", "n")])
+        d = d.join(own, ["league", side, "at"], "left")
+    d = d.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("home_n", "away_n")})
+    base = F.when(F.col("lg_n") > 0, F.greatest((F.col("lg_h") + F.col("lg_a")) / (2 * F.col("lg_n")), F.lit(FLOOR)))
+    ratio = lambda total, n: strength_ratio(F.col(total), F.col(n), base)
+    lam = base * ratio("home_for", "home_n") * ratio("away_against", "away_n") * home_factor(F.col("lg_h"), F.col("lg_a"))
+    mu = base * ratio("away_for", "away_n") * ratio("home_against", "home_n")
     return d.select(*decisions.columns, "lg_n", "home_n", "away_n", lam.alias("lam"), mu.alias("mu"))
 
 
@@ -94,30 +105,85 @@ def elo_ratings(matches: DataFrame, k: float = 20.0, advantage: float = 100.0, s
     return ordered_scan(matches.select("match_id", "league", "home", "away", "gh", "ga", "kick"), "league", ["kick", "match_id"], dict, step, ELO)
 
 
-GAMMA = T.StructType([T.StructField("match_id", T.LongType()), T.StructField("lam", T.DoubleType()), T.StructField("mu", T.DoubleType())])
+GAMMA = T.StructType([T.StructField("league", T.LongType()), T.StructField("team", T.LongType()), T.StructField("attack", T.DoubleType()), T.StructField("defence", T.DoubleType()), T.StructField("base", T.DoubleType()), T.StructField("factor", T.DoubleType())])
+GAMMA_ONLINE = T.StructType([T.StructField("match_id", T.LongType()), T.StructField("lam", T.DoubleType()), T.StructField("mu", T.DoubleType())])
+
+
+def league_levels(matches: DataFrame) -> DataFrame:
+    """league, base (goals per side and match), factor (home advantage)."""
+    h, a = F.sum(F.col("gh").cast("double")), F.sum(F.col("ga").cast("double"))
+    return matches.groupBy("league").agg(F.greatest((h + a) / (2 * F.count(F.lit(1))), F.lit(FLOOR)).alias("base"), home_factor(h, a).alias("factor"))
 
 
 def sequential_gamma(matches: DataFrame, prior: float = 10.0) -> DataFrame:
-    """Expected goals before each match from attack and defence that learn match by match.
+    """Attack and defence per team after the given matches, learnt match by match: gamma means with prior mean 1.
+
+    Base and home factor are those of all given matches.  A match adds its goals to
+    the shape of the scorer's attack and the other side's defence, and to their
+    rates what the opponent's mean before the match lets expect.  A league is one
+    ordered recurrence, streamed; the teams' means follow its last match.
+    """
+    rows = matches.join(league_levels(matches), "league").select("match_id", "league", "home", "away", "gh", "ga", "base", "factor", "kick")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        league, state, level = None, {}, (0.0, 0.0)
+
+        def done() -> list[tuple]:
+            return [(league, t, x[0] / x[1], x[2] / x[3], *level) for t, x in state.items()]
+
+        for pdf in batches:
+            out: list[tuple] = []
+            for lg, h, a, gh, ga, base, factor in zip(*(pdf[c] for c in ("league", "home", "away", "gh", "ga", "base", "factor")), strict=True):
+                if lg != league:
+                    out += done() if state else []
+                    league, state, level = lg, {}, (base, factor)
+                x, y = state.setdefault(h, [prior] * 4), state.setdefault(a, [prior] * 4)
+                home_attack, home_defence, away_attack, away_defence = x[0] / x[1], x[2] / x[3], y[0] / y[1], y[2] / y[3]
+                x[0] += gh
+                x[1] += base * away_defence * factor
+                x[2] += ga
+                x[3] += base * away_attack
+                y[0] += ga
+                y[1] += base * home_defence
+                y[2] += gh
+                y[3] += base * home_attack * factor
+            if out:
+                yield pd.DataFrame(out, columns=[f.name for f in GAMMA.fields])
+        if state:
+            yield pd.DataFrame(done(), columns=[f.name for f in GAMMA.fields])
+
+    return rows.repartition("league").sortWithinPartitions("league", "kick", "match_id").mapInPandas(run, GAMMA)
+
+
+def rates_from(fixtures: DataFrame, teams: DataFrame, levels: DataFrame) -> DataFrame:
+    """Fixtures (league, home, away) with lam and mu from a table of attack and defence per team; unknown teams count 1."""
+    d = fixtures.join(levels.select("league", "base", "factor"), "league")
+    for side in ("home", "away"):
+        d = d.join(teams.select("league", F.col("team").alias(side), F.col("attack").alias(f"{side}_attack"), F.col("defence").alias(f"{side}_defence")), ["league", side], "left")
+    one = lambda c: F.coalesce(c, F.lit(1.0))
+    lam = F.col("base") * one("home_attack") * one("away_defence") * F.col("factor")
+    return d.select(*fixtures.columns, lam.alias("lam"), (F.col("base") * one("away_attack") * one("home_defence")).alias("mu"))
+
+
+def sequential_gamma_online(matches: DataFrame, prior: float = 10.0) -> DataFrame:
+    """Expected goals before each match from attack and defence that learn match by match, with nothing later used.
 
-    Each rate is a gamma mean (shape grows by goals, exposure by what the
-    opponent's current mean lets expect) with prior mean 1; the league's base
-    is the mean of the goals so far, so nothing later is used.
+    As sequential_gamma, but base and home factor too are those of the matches so far (with `prior` goals each side to begin with).
     """
 
     def step(state: dict, row: tuple) -> tuple:
         m, _, h, a, gh, ga, _ = row
-        goals, sides = state.get("base", (prior, prior))
-        base = goals / sides
+        home_goals, away_goals, sides = state.get("base", (prior, prior, 2 * prior))
+        base, factor = (home_goals + away_goals) / sides, home_goals / away_goals
         rates = [state.setdefault(x, [prior, prior]) for x in (("att", h), ("def", h), ("att", a), ("def", a))]
         ah, dh, aa, da = (x[0] / x[1] for x in rates)
-        for rate, scored, exposure in zip(rates, (gh, ga, ga, gh), (base * da, base * aa, base * dh, base * ah), strict=True):
+        for rate, scored, exposure in zip(rates, (gh, ga, ga, gh), (base * da * factor, base * aa, base * dh, base * ah * factor), strict=True):
             rate[0] += scored
             rate[1] += exposure
-        state["base"] = (goals + gh + ga, sides + 2)
-        return m, base * ah * da, base * aa * dh
+        state["base"] = (home_goals + gh, away_goals + ga, sides + 2)
+        return m, base * ah * da * factor, base * aa * dh
 
-    return ordered_scan(matches.select("match_id", "league", "home", "away", "gh", "ga", "kick"), "league", ["kick", "match_id"], dict, step, GAMMA)
+    return ordered_scan(matches.select("match_id", "league", "home", "away", "gh", "ga", "kick"), "league", ["kick", "match_id"], dict, step, GAMMA_ONLINE)
 
 
 RHO = T.StructType([T.StructField("league", T.LongType()), T.StructField("rho", T.DoubleType()), T.StructField("n", T.LongType())])
@@ -146,13 +212,12 @@ def fit_low_score_rho(rated: DataFrame) -> DataFrame:
 
     rho lies where no match of the league, whatever its score, gets a negative
     cell; where there is no such place it is 0.  Only the four low cells carry
-    likelihood, so those matches are first summed to rows of equal cell and
-    rounded rates before a league reaches one task.
+    likelihood; matches of equal cell and rates are first combined.
     """
     both = rated.where((F.col("lam") > 0) & (F.col("mu") > 0))
     bounds = both.groupBy("league").agg(F.max(F.greatest(-1 / F.col("lam"), -1 / F.col("mu"))).alias("lo"), F.min(F.least(F.lit(1.0), 1 / (F.col("lam") * F.col("mu")))).alias("hi"))
     cell = F.col("gh") * 2 + F.col("ga")
-    low = rated.where((F.col("gh") <= 1) & (F.col("ga") <= 1) & F.col("lam").isNotNull()).groupBy("league", cell.alias("cell"), F.round("lam", 4).alias("lam"), F.round("mu", 4).alias("mu")).agg(F.count(F.lit(1)).alias("n"))
+    low = rated.where((F.col("gh") <= 1) & (F.col("ga") <= 1) & F.col("lam").isNotNull()).groupBy("league", cell.alias("cell"), "lam", "mu").agg(F.count(F.lit(1)).alias("n"))
     low = low.join(bounds, "league", "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -187,7 +187,7 @@ def stability_report(spark: SparkSession, sf: str) -> DataFrame:
 @R.query("walk_forward_scale", f"WITH {OVER_SQL}, t AS (SELECT ov.*, m.kick - {LEAD} AS t_at FROM ov JOIN matches m USING (match_id)) SELECT match_id, CASE WHEN count(*) OVER w >= 30 THEN round(sum(gh + ga) OVER w / nullif(sum(lam + mu) OVER w, 0), 6) END AS scale FROM t WINDOW w AS (PARTITION BY t.league ORDER BY t_at RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def walk_forward_scale(spark: SparkSession, sf: str) -> DataFrame:
     rows = overs(spark, sf).withColumns({"actual": (F.col("gh") + F.col("ga")).cast("double"), "expected": F.col("lam") + F.col("mu")})
-    return rounded(rows.select("match_id", calibration.walk_forward_scale(rows, ["league"], "at", "actual", "expected").alias("scale")))
+    return rounded(calibration.walk_forward_scale(rows, ["league"], "at", "actual", "expected").select("match_id", "scale"))
 
 
 @R.query("goal_moments", f"WITH {MATCHES_SQL} SELECT league, count(*) AS n, round(avg(gh + ga), 6) AS mean, round(var_samp(gh + ga) / avg(gh + ga), 6) AS dispersion, round(avg(pow(gh + ga - m, 3)) / pow(var_pop(gh + ga), 1.5), 6) AS skew, round(avg(pow(gh + ga - m, 4)) / pow(var_pop(gh + ga), 2) - 3, 6) AS kurtosis FROM (SELECT *, avg(gh + ga) OVER (PARTITION BY league) AS m FROM matches) GROUP BY 1")

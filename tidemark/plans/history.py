@@ -99,10 +99,10 @@ dc AS (SELECT match_id, league, home, away, kick - {lag} AS at, gh, ga FROM matc
 j1 AS (SELECT dc.*, lc.h, lc.a, coalesce(lc.n, 0) AS lg_n FROM dc ASOF LEFT JOIN lc ON dc.league = lc.league AND dc.at >= lc.known),
 j2 AS (SELECT j1.*, tc.s AS hs, tc.c AS hc, coalesce(tc.n, 0) AS home_n FROM j1 ASOF LEFT JOIN tc ON j1.league = tc.league AND j1.home = tc.team AND j1.at >= tc.known),
 j3 AS (SELECT j2.*, tc.s AS as_, tc.c AS ac, coalesce(tc.n, 0) AS away_n FROM j2 ASOF LEFT JOIN tc ON j2.league = tc.league AND j2.away = tc.team AND j2.at >= tc.known),
-k AS (SELECT *, CASE WHEN lg_n > 0 THEN (h + a) / (2.0 * lg_n) END AS base, CASE WHEN h > 0 AND a > 0 THEN sqrt(h / a) ELSE 1 END AS hfa FROM j3),
+k AS (SELECT *, CASE WHEN lg_n > 0 THEN greatest((h + a) / (2.0 * lg_n), 1e-9) END AS base, CASE WHEN a > 0 THEN greatest(h / a, 1e-9) ELSE 1 END AS hfa FROM j3),
 rated AS (SELECT match_id, league, lg_n, home_n, away_n, gh, ga,
   base * (CASE WHEN home_n > 0 THEN greatest(hs / home_n / greatest(base, 1e-9), 1e-9) ELSE 1 END) * (CASE WHEN away_n > 0 THEN greatest(ac / away_n / greatest(base, 1e-9), 1e-9) ELSE 1 END) * hfa AS lam,
-  base * (CASE WHEN away_n > 0 THEN greatest(as_ / away_n / greatest(base, 1e-9), 1e-9) ELSE 1 END) * (CASE WHEN home_n > 0 THEN greatest(hc / home_n / greatest(base, 1e-9), 1e-9) ELSE 1 END) / hfa AS mu FROM k)"""
+  base * (CASE WHEN away_n > 0 THEN greatest(as_ / away_n / greatest(base, 1e-9), 1e-9) ELSE 1 END) * (CASE WHEN home_n > 0 THEN greatest(hc / home_n / greatest(base, 1e-9), 1e-9) ELSE 1 END) AS mu FROM k)"""
 
 
 def rated(spark: SparkSession, sf: str, scored: str = "gh", conceded: str = "ga", known: str = "known") -> DataFrame:
@@ -182,7 +182,12 @@ def elo_ratings(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query("sequential_gamma")
 def sequential_gamma(spark: SparkSession, sf: str) -> DataFrame:
-    return strength.sequential_gamma(matches(spark, sf))
+    return strength.sequential_gamma(matches(spark, sf).where(F.col("known") <= AT))
+
+
+@R.query("sequential_gamma_online")
+def sequential_gamma_online(spark: SparkSession, sf: str) -> DataFrame:
+    return strength.sequential_gamma_online(matches(spark, sf))
 
 
 @R.query("low_score_rho")

@@ -18,32 +18,6 @@ R = registry.new()
 
 # -- reconciliation ------------------------------------------------------------------------------------
 
-KEYS_SQL = f"""{MATCHES_SQL}, l AS (SELECT league, home, away, CAST(floor(kick / 24) AS BIGINT) AS day, match_id FROM matches WHERE match_id % 7 <> 0),
-r AS (SELECT league, home, away, CAST(floor(kick / 24) AS BIGINT) AS day, match_id FROM matches WHERE match_id % 5 <> 0)"""
-
-
-@R.query("reconcile_one_to_one", f"""WITH {KEYS_SQL}, a AS (SELECT league, home, away, day, count(*) AS n, min(match_id) AS i FROM l GROUP BY ALL), b AS (SELECT league, home, away, day, count(*) AS n, min(match_id) AS i FROM r GROUP BY ALL),
-f AS (SELECT coalesce(a.league, b.league) AS league, coalesce(a.home, b.home) AS home, coalesce(a.away, b.away) AS away, coalesce(a.day, b.day) AS day, a.n AS nl, b.n AS nr, a.i AS li, b.i AS ri FROM a FULL JOIN b ON a.league = b.league AND a.home = b.home AND a.away = b.away AND a.day = b.day),
-s AS (SELECT *, CASE WHEN nl > 1 OR nr > 1 THEN 'duplicate' WHEN nr IS NULL THEN 'left_only' WHEN nl IS NULL THEN 'right_only' ELSE 'matched' END AS status FROM f)
-SELECT league, home, away, day, CASE WHEN status IN ('matched', 'left_only') THEN li END AS left_id, CASE WHEN status IN ('matched', 'right_only') THEN ri END AS right_id, status FROM s""")
-def reconcile_one_to_one(spark: SparkSession, sf: str) -> DataFrame:
-    """Two deliveries of the match list, each lacking other matches, joined on league, sides and day."""
-    m = matches(spark, sf).select("league", "home", "away", F.floor(F.col("kick") / 24).cast("long").alias("day"), "match_id")
-    return reconcile.one_to_one(m.where("match_id % 7 <> 0"), m.where("match_id % 5 <> 0"), ["league", "home", "away", "day"], "match_id", "match_id")
-
-
-def two_versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    new = o.where("o_orderkey % 11 <> 1").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 13 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
-    return o.where("o_orderkey % 10 <> 3"), new
-
-
-@R.query("record_diff", "WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice AS p FROM orders WHERE o_orderkey % 10 <> 3), b AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice + CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS p FROM orders WHERE o_orderkey % 11 <> 1) SELECT coalesce(a.k, b.k) AS o_orderkey, CASE WHEN a.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'missing' WHEN a.s IS NOT DISTINCT FROM b.s AND a.p IS NOT DISTINCT FROM b.p THEN 'unchanged' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.k = b.k")
-def record_diff(spark: SparkSession, sf: str) -> DataFrame:
-    old, new = two_versions(spark, sf)
-    return reconcile.diff(old, new, "o_orderkey", ["o_orderstatus", "o_totalprice"])
-
-
 @R.query("insert_only_merge", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def insert_only_merge(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
@@ -51,24 +25,15 @@ def insert_only_merge(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.insert_only_merge(known, o, "o_orderkey", ["o_orderstatus", "o_totalprice"])
 
 
-@R.query("field_difference_stats", "WITH a AS (SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_orderkey % 10 <> 3), b AS (SELECT o_orderkey AS k, o_totalprice + CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS p FROM orders WHERE o_orderkey % 11 <> 1), d AS (SELECT abs(a.p - b.p) AS d FROM a JOIN b ON a.k = b.k) SELECT count(*) AS n, count(*) FILTER (d > 1e-6) AS changed, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.99), 6) AS p99, round(max(d), 6) AS most FROM d")
-def field_difference_stats(spark: SparkSession, sf: str) -> DataFrame:
-    old, new = two_versions(spark, sf)
-    d = old.select("o_orderkey", "o_totalprice").join(new.select("o_orderkey", F.col("o_totalprice").alias("p2")), "o_orderkey").select(F.abs(F.col("o_totalprice") - F.col("p2")).alias("d"))
-    return d.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 1e-6).alias("changed"), F.round(F.avg("d"), 6).alias("mean"), F.round(F.percentile("d", F.lit(0.99)), 6).alias("p99"), F.round(F.max("d"), 6).alias("most"))
-
-
-# -- the same on whole tables: both deliveries hold every row, and differ by changed values ------------
-
 LATE_SQL = f"""{MATCHES_SQL}, l AS (SELECT league, home, away, CAST(floor(kick / 24) AS BIGINT) AS day, match_id FROM matches),
 r AS (SELECT league, home, away, CAST(floor((kick + 5) / 24) AS BIGINT) AS day, match_id FROM matches)"""
 
 
-@R.query("reconcile_one_to_one_whole", f"""WITH {LATE_SQL}, a AS (SELECT league, home, away, day, count(*) AS n, min(match_id) AS i FROM l GROUP BY ALL), b AS (SELECT league, home, away, day, count(*) AS n, min(match_id) AS i FROM r GROUP BY ALL),
+@R.query("reconcile_one_to_one", f"""WITH {LATE_SQL}, a AS (SELECT league, home, away, day, count(*) AS n, min(match_id) AS i FROM l GROUP BY ALL), b AS (SELECT league, home, away, day, count(*) AS n, min(match_id) AS i FROM r GROUP BY ALL),
 f AS (SELECT coalesce(a.league, b.league) AS league, coalesce(a.home, b.home) AS home, coalesce(a.away, b.away) AS away, coalesce(a.day, b.day) AS day, a.n AS nl, b.n AS nr, a.i AS li, b.i AS ri FROM a FULL JOIN b ON a.league = b.league AND a.home = b.home AND a.away = b.away AND a.day = b.day),
 s AS (SELECT *, CASE WHEN nl > 1 OR nr > 1 THEN 'duplicate' WHEN nr IS NULL THEN 'left_only' WHEN nl IS NULL THEN 'right_only' ELSE 'matched' END AS status FROM f)
 SELECT league, home, away, day, CASE WHEN status IN ('matched', 'left_only') THEN li END AS left_id, CASE WHEN status IN ('matched', 'right_only') THEN ri END AS right_id, status FROM s""")
-def reconcile_one_to_one_whole(spark: SparkSession, sf: str) -> DataFrame:
+def reconcile_one_to_one(spark: SparkSession, sf: str) -> DataFrame:
     """All matches against a feed of all whose times run five hours late, so that some fall on the next day."""
     m = matches(spark, sf)
     side = lambda late: m.select("league", "home", "away", F.floor((F.col("kick") + late) / 24).cast("long").alias("day"), "match_id")
@@ -85,22 +50,22 @@ def reissued(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 REISSUED_SQL = "a AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice AS p FROM orders), b AS (SELECT CASE WHEN o_orderstatus = 'P' THEN -o_orderkey ELSE o_orderkey END AS k, o_orderstatus AS s, o_totalprice + CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS p FROM orders)"
 
 
-@R.query("record_diff_whole", f"WITH {REISSUED_SQL} SELECT coalesce(a.k, b.k) AS o_orderkey, CASE WHEN a.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'missing' WHEN a.s IS NOT DISTINCT FROM b.s AND a.p IS NOT DISTINCT FROM b.p THEN 'unchanged' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.k = b.k")
-def record_diff_whole(spark: SparkSession, sf: str) -> DataFrame:
+@R.query("record_diff", f"WITH {REISSUED_SQL} SELECT coalesce(a.k, b.k) AS o_orderkey, CASE WHEN a.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'missing' WHEN a.s IS NOT DISTINCT FROM b.s AND a.p IS NOT DISTINCT FROM b.p THEN 'unchanged' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.k = b.k")
+def record_diff(spark: SparkSession, sf: str) -> DataFrame:
     old, new = reissued(spark, sf)
     return reconcile.diff(old, new, "o_orderkey", ["o_orderstatus", "o_totalprice"])
 
 
-@R.query("field_difference_stats_whole", f"WITH {REISSUED_SQL}, d AS (SELECT abs(a.p - b.p) AS d FROM a JOIN b ON a.k = abs(b.k)) SELECT count(*) AS n, count(*) FILTER (d > 1e-6) AS changed, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.99), 6) AS p99, round(max(d), 6) AS most FROM d")
-def field_difference_stats_whole(spark: SparkSession, sf: str) -> DataFrame:
+@R.query("field_difference_stats", f"WITH {REISSUED_SQL}, d AS (SELECT abs(a.p - b.p) AS d FROM a JOIN b ON a.k = abs(b.k)) SELECT count(*) AS n, count(*) FILTER (d > 1e-6) AS changed, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.99), 6) AS p99, round(max(d), 6) AS most FROM d")
+def field_difference_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Price changes of all orders, reissued ones against their first issue."""
     old, new = reissued(spark, sf)
     d = old.select("o_orderkey", "o_totalprice").join(new.select(F.abs("o_orderkey").alias("o_orderkey"), F.col("o_totalprice").alias("p2")), "o_orderkey").select(F.abs(F.col("o_totalprice") - F.col("p2")).alias("d"))
     return d.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") > 1e-6).alias("changed"), F.round(F.avg("d"), 6).alias("mean"), F.round(F.percentile("d", F.lit(0.99)), 6).alias("p99"), F.round(F.max("d"), 6).alias("most"))
 
 
-@R.query("interval_match_whole", f"WITH {MATCHES_SQL}, a AS (SELECT match_id, home, kick FROM matches), b AS (SELECT match_id AS r, home, kick + 5 AS k FROM matches), h AS (SELECT a.match_id, r FROM a JOIN b ON a.home = b.home AND abs(a.kick - b.k) <= 12) SELECT a.match_id AS left_id, CASE WHEN count(r) = 0 THEN 'UNMATCHED' WHEN count(r) > 1 THEN 'AMBIGUOUS' ELSE 'MATCHED' END AS status, count(r) AS candidates, min(r) AS first_candidate FROM a LEFT JOIN h USING (match_id) GROUP BY 1")
-def interval_match_whole(spark: SparkSession, sf: str) -> DataFrame:
+@R.query("interval_match", f"WITH {MATCHES_SQL}, a AS (SELECT match_id, home, kick FROM matches), b AS (SELECT match_id AS r, home, kick + 5 AS k FROM matches), h AS (SELECT a.match_id, r FROM a JOIN b ON a.home = b.home AND abs(a.kick - b.k) <= 12) SELECT a.match_id AS left_id, CASE WHEN count(r) = 0 THEN 'UNMATCHED' WHEN count(r) > 1 THEN 'AMBIGUOUS' ELSE 'MATCHED' END AS status, count(r) AS candidates, min(r) AS first_candidate FROM a LEFT JOIN h USING (match_id) GROUP BY 1")
+def interval_match(spark: SparkSession, sf: str) -> DataFrame:
     """Every match against a feed whose times run five hours late, within twelve hours."""
     m = matches(spark, sf).select("match_id", "home", "kick")
     late = m.select(F.col("match_id").alias("r"), "home", (F.col("kick") + 5).alias("k"))
@@ -127,14 +92,6 @@ def name_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.coverage(names, table(spark, sf, "clubs"), "name", "club_name")
 
 
-@R.query("interval_match", f"WITH {MATCHES_SQL}, a AS (SELECT match_id, home, kick FROM matches WHERE match_id % 3 = 0), b AS (SELECT match_id AS r, home, kick + 5 AS k FROM matches), h AS (SELECT a.match_id, r FROM a JOIN b ON a.home = b.home AND abs(a.kick - b.k) <= 12) SELECT a.match_id AS left_id, CASE WHEN count(r) = 0 THEN 'UNMATCHED' WHEN count(r) > 1 THEN 'AMBIGUOUS' ELSE 'MATCHED' END AS status, count(r) AS candidates, min(r) AS first_candidate FROM a LEFT JOIN h USING (match_id) GROUP BY 1")
-def interval_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Each third match against a feed whose times run five hours late, within twelve hours."""
-    m = matches(spark, sf).select("match_id", "home", "kick")
-    late = m.select(F.col("match_id").alias("r"), "home", (F.col("kick") + 5).alias("k"))
-    return reconcile.interval_match(m.where("match_id % 3 = 0"), late, ["home"], "kick", "k", "match_id", "r", 12)
-
-
 @R.query("catalogue_union", f"WITH {MATCHES_SQL}, p AS (SELECT match_id, home, away, kick FROM matches WHERE known <= 245000), f AS (SELECT match_id, home, away, kick FROM matches WHERE known > 245000) SELECT match_id, 'played' AS state, kick FROM p UNION ALL SELECT match_id, 'future', kick FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.home = f.home AND p.away = f.away)")
 def catalogue_union(spark: SparkSession, sf: str) -> DataFrame:
     """Played matches, and future ones whose pair has not played yet (anti join)."""
