@@ -31,7 +31,7 @@ def outcome_probabilities(home: Column, away: Column) -> Column:
 
     def finish(acc: Column) -> Column:
         total = acc["sh"] * acc["sa"]
-        return F.struct(F.try_divide(acc["home"], total).alias("home"), F.try_divide(acc["draw"], total).alias("draw"), F.try_divide(total - acc["home"] - acc["draw"], total).alias("away"))
+        return F.struct(F.try_divide(acc["home"], total).alias("home"), F.try_divide(acc["draw"], total).alias("draw"), F.try_divide(F.greatest(total - acc["home"] - acc["draw"], zero), total).alias("away"))
 
     pairs = F.zip_with(home, away, lambda h, a: F.struct(h.alias("h"), a.alias("a")))
     return F.aggregate(pairs, start, step, finish)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -28,9 +28,29 @@ def without_margin(prices: list[Column]) -> list[Column]:
     return [x / total for x in p]
 
 
-def share_of_market(price: Column, market: WindowSpec) -> Column:
-    """As without_margin, for prices in long form: one row per selection of a market window."""
-    return implied(price) / F.sum(implied(price)).over(market)
+def fair_price(p: Column) -> Column:
+    """1 / p; infinite for p = 0."""
+    return F.when(p > 0, 1 / p).when(p.isNotNull(), F.lit(float("inf")))
+
+
+def expected_value(p: Column, price: Column) -> Column:
+    """Mean profit of a unit stake; NULL unless p is a probability and the price valid."""
+    return F.when(p.between(0.0, 1.0), p * valid_price(price) - 1)
+
+
+def closing_line_value(taken: Column, closing_fair: Column) -> Column:
+    """Percent by which the fair closing price lies above the price taken."""
+    return (valid_price(closing_fair) / valid_price(taken) - 1) * 100
+
+
+def kelly_fraction(p: Column, price: Column) -> Column:
+    """Growth-optimal share of the balance; negative where the bet loses on average."""
+    return (p * valid_price(price) - 1) / (valid_price(price) - 1)
+
+
+def limited_stake(raw: Column, balance: Column, share: float, cap: float) -> Column:
+    """A stake within a share of the balance, a cap and the balance itself, never below 0."""
+    return F.greatest(F.least(raw, balance * share, F.lit(cap), balance), F.lit(0.0))
 
 
 def settle_fraction(difference: Column, line: Column) -> Column:

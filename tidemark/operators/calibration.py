@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.scoring import right_closed_bin
+from tidemark.functions.scoring import binary_brier, binary_log_loss, right_closed_bin
+from tidemark.operators import ranks
 from tidemark.operators.pit import running_as_of
 
 
@@ -51,13 +52,15 @@ def decreases(bins: DataFrame, order: str, value: str) -> DataFrame:
 def quantile_bin(df: DataFrame, x: str, parts: int, by: list[str] | None = None) -> DataFrame:
     """Add `part`: index of the interpolated quantile interval (lo, hi], the lowest value included.
 
-    Edges come from one aggregate per group; equal edges leave parts empty.
+    Without groups the edges come from counts per value, range by range; with
+    groups from one aggregate per group.  Equal edges leave parts empty.
     """
-    by = by or []
+    if not by:
+        edges = ranks.quantiles(df, x, [i / parts for i in range(1, parts)])
+        return df.withColumn("part", sum((F.coalesce((e < F.col(x)).cast("int"), F.lit(0)) for e in edges), F.lit(0)))
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     edges = df.groupBy(*by).agg(F.percentile(x, shares).alias("_edges"))
-    joined = df.join(edges, by) if by else df.withColumn("_edges", edges.select("_edges").scalar())
-    return joined.withColumn("part", F.size(F.filter("_edges", lambda e: e < F.col(x)))).drop("_edges")
+    return df.join(edges, by).withColumn("part", F.size(F.filter("_edges", lambda e: e < F.col(x)))).drop("_edges")
 
 
 def walk_forward_scale(df: DataFrame, key: list[str], at: str, actual: str, expected: str, least: int = 30) -> DataFrame:
@@ -137,3 +140,81 @@ def logistic_recalibration(df: DataFrame, group: str, p: str, y: str) -> DataFra
         return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "intercept": [b[0]], "slope": [b[1]], "n": [int(pdf["w"].sum())]})
 
     return small.groupBy("grp").applyInPandas(run, COX)
+
+
+WALKED = T.StructType([T.StructField("id", T.LongType()), T.StructField("p", T.DoubleType()), T.StructField("trained_on", T.LongType())])
+
+
+def walk_forward_logistic(df: DataFrame, group: str, at: str, period: int, x: list[str], y: str, id_column: str, offset: str | None = None, least: int = 50) -> DataFrame:
+    """(id, p, trained_on): forecast of each row by a logistic fit on its group's rows of earlier periods.
+
+    A period is `period` units of `at`; refits begin from the last coefficients.
+    NULL before `least` training rows.  Rows of a period with equal covariates,
+    offset and outcome are first combined (by their hash), so a task holds distinct rows only.
+    With an offset its coefficient is fixed at 1.
+    """
+    named = {f"_x{i}": F.col(c).cast("double") for i, c in enumerate(x)} | {"_o": F.col(offset).cast("double") if offset else F.lit(0.0)}
+    rows = df.where(F.col(at).isNotNull()).select(F.col(group).cast("string").alias("grp"), F.floor(F.col(at) / period).cast("long").alias("t"), F.col(id_column).cast("long").alias("id"), F.col(y).cast("double").alias("y"), *[c.alias(n) for n, c in named.items()])
+    full = rows.where(" and ".join(f"{n} is not null" for n in named))
+    cells = full.groupBy("grp", "t", *named).agg(F.count("y").alias("n"), F.sum("y").alias("s"), F.collect_list("id").alias("ids"))
+    order = ["t", *named]
+    columns = [n for n in order[1:] if n != "_o"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order).reset_index(drop=True)
+        d = np.column_stack([np.ones(len(pdf)), *[pdf[c] for c in columns]])
+        o, n, s, t = (pdf[c].to_numpy(dtype=float) for c in ("_o", "n", "s", "t"))
+        p, seen, beta = np.full(len(pdf), np.nan), np.zeros(len(pdf)), np.zeros(d.shape[1])
+        for start in np.unique(t):
+            past = t < start
+            rows_now = t == start
+            held = n[past].sum()
+            seen[rows_now] = held
+            if held < least:
+                continue
+            beta = newton(d[past], s[past], n[past], o[past], beta)
+            p[rows_now] = 1 / (1 + np.exp(-np.clip(d[rows_now] @ beta + o[rows_now], -30, 30)))
+        ids = pdf["ids"].tolist()
+        size = [len(i) for i in ids]
+        return pd.DataFrame({"id": np.concatenate(ids) if ids else [], "p": np.repeat(p, size), "trained_on": np.repeat(seen, size).astype("int64")})
+
+    return cells.groupBy("grp").applyInPandas(run, WALKED).withColumn("p", F.when(~F.isnan("p"), F.col("p")))
+
+
+def newton(x: np.ndarray, s: np.ndarray, n: np.ndarray, offset: np.ndarray, beta: np.ndarray, steps: int = 40) -> np.ndarray:
+    """Logistic coefficients from successes s of n trials per row, from a starting point."""
+    b = beta.copy()
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ b + offset, -30, 30)))
+        h = (x * (n * p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(x.shape[1])
+        step = np.linalg.solve(h, x.T @ (s - n * p))
+        b = b + np.clip(step, -4, 4)
+        if np.abs(step).max() < 1e-10:
+            break
+    return b
+
+
+def apply_isotonic(df: DataFrame, curve: DataFrame, group: str, p: str) -> DataFrame:
+    """Add `calibrated`: each forecast read off its group's curve, straight lines between its points and flat beyond its ends.
+
+    Forecasts meet the curve's points along the sorted line of their group, not as pairs.
+    """
+    c = curve.select(F.col("grp").alias("_g"), F.col("x").alias("_x"), F.struct("x", "fitted").alias("_at"))
+    asked = df.select(F.col(group).cast("string").alias("_g"), F.col(p).alias("_x")).where("_x is not null").distinct().withColumn("_asked", F.lit(True))
+    line = asked.unionByName(c, allowMissingColumns=True).groupBy("_g", "_x").agg(F.max("_at").alias("_at"), F.bool_or("_asked").alias("_asked"))
+    w = Window.partitionBy("_g").orderBy("_x")
+    lo = F.last("_at", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    hi = F.first("_at", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    line = line.select("_g", "_x", "_asked", lo.alias("lo"), hi.alias("hi")).where("_asked")
+    between = F.col("lo.fitted") + (F.col("hi.fitted") - F.col("lo.fitted")) * F.try_divide(F.col("_x") - F.col("lo.x"), F.col("hi.x") - F.col("lo.x"))
+    value = F.when(F.col("lo").isNull(), F.col("hi.fitted")).when(F.col("hi").isNull() | (F.col("lo.x") == F.col("hi.x")), F.col("lo.fitted")).otherwise(between)
+    read = line.select("_g", "_x", value.alias("calibrated"))
+    return df.join(read, (F.col(group).cast("string") == F.col("_g")) & (F.col(p) == F.col("_x")), "left").drop("_g", "_x")
+
+
+def category_table(df: DataFrame, category: str, p: str, y: str) -> DataFrame:
+    """Per category n, mean forecast and outcome, bias with its normal 95 % interval, Brier score and log loss."""
+    cp, cy = F.col(p), F.col(y).cast("double")
+    n = F.count(F.lit(1))
+    half = 1.959963984540054 * F.stddev_samp(cp - cy) / F.sqrt(n)
+    return df.where(cp.isNotNull() & cy.isNotNull()).groupBy(category).agg(n.alias("n"), F.avg(cp).alias("mean_p"), F.avg(cy).alias("mean_y"), F.avg(cp - cy).alias("bias"), (F.avg(cp - cy) - half).alias("low"), (F.avg(cp - cy) + half).alias("high"), F.avg(binary_brier(cp, cy)).alias("brier"), F.avg(binary_log_loss(cp, cy)).alias("log_loss"))
