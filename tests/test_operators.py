@@ -167,14 +167,15 @@ def test_embedded_literal_round_trip(spark):
 
 
 def test_calendar_lines():
-    text = "= Cup\n[Fri Aug/14 2026]\n  18:00  A FC v B United  2-1 (1-0)\n  C v D [postponed]\n  E v F 3-2 a.e.t.\n[Sat Jan/2]\n G v H\nnonsense\n[Foo/99]\n I v J"
+    text = "= Cup\n# Fri Aug/14 - Sat May/22 2027\n» Round 1\n[Fri Aug/14]\n  18:00  A FC (FRA) v B United  2-1 (1-0)\n  C v D [postponed]\n  E v F 3-2 a.e.t.\n▪ Semi-finals\n[Sat Jan/2]\n G v H\n 20.30 I v J 4-3 pen. 1-1\nnonsense\n[Foo/99]\n K v L"
     got = calendars.parse_text(text)
-    assert [(r[1].isoformat() if r[1] else None, r[2], r[3], r[4], r[5], r[6]) for r in got] == [
-        ("2026-08-14", "A FC", "B United", 2, 1, None),
-        ("2026-08-14", "C", "D", None, None, None),
-        ("2026-08-14", "E", "F", None, None, None),
-        ("2027-01-02", "G", "H", None, None, None),
-        ("2027-01-02", None, None, None, None, "unreadable"),
-        (None, None, None, None, None, "bad date"),
-        (None, "I", "J", None, None, "no date"),
+    assert [(r[1], r[2].isoformat() if r[2] else None, *r[3:]) for r in got] == [
+        ("Round 1", "2026-08-14", "18:00", "A FC", "FRA", "B United", None, 2, 1, None, None),
+        ("Round 1", "2026-08-14", "18:00", "C", None, "D", None, None, None, "postponed", None),
+        ("Round 1", "2026-08-14", "18:00", "E", None, "F", None, None, None, "a.e.t", None),
+        ("Semi-finals", "2027-01-02", None, "G", None, "H", None, None, None, None, None),
+        ("Semi-finals", "2027-01-02", "20:30", "I", None, "J 4-3", None, None, None, "pen", None),
+        ("Semi-finals", "2027-01-02", None, None, None, None, None, None, None, None, "unreadable"),
+        ("Semi-finals", None, None, None, None, None, None, None, None, None, "bad date"),
+        ("Semi-finals", None, None, "K", None, "L", None, None, None, None, "no date"),
     ]

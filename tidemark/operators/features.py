@@ -40,6 +40,20 @@ def cumulative(days: DataFrame, entity: str, kind: str) -> DataFrame:
     )
 
 
+def extended(stored: DataFrame, days: DataFrame, entity: str, kind: str) -> DataFrame:
+    """The stored form with later days added: new days continue from the last stored value of their entity and type.
+
+    Days that lie within the stored range would need the rows after them
+    changed; they raise.
+    """
+    last = stored.groupBy(entity, kind).agg(F.max_by(F.struct("day", "cum_n", "cum_total", "last_at"), "day").alias("_last"))
+    new = cumulative(days, entity, kind).join(last, [entity, kind], "left")
+    late = F.when(F.col("day") <= F.col("_last.day"), F.raise_error(F.lit("a new day lies within the stored days")).cast("int")).otherwise(0)
+    zero = lambda c: F.coalesce(F.col(f"_last.{c}"), F.lit(0))
+    new = new.select(entity, kind, "day", (F.col("cum_n") + zero("cum_n") + late).alias("cum_n"), (F.col("cum_total") + zero("cum_total")).alias("cum_total"), F.greatest("last_at", "_last.last_at").alias("last_at"))
+    return stored.unionByName(new)
+
+
 def as_of_features(cum: DataFrame, entity: str, kind: str, end: str, windows: dict[str, int | None]) -> DataFrame:
     """Window features per entity and type: everything before day `end`, per window of so many days (None: all).
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import extras, forecasts, history, inference, models, problems, records, registry
+from tidemark.plans import extras, forecasts, history, inference, intake, models, problems, records, registry
 
 REGISTRY = registry.new()
-for module in (problems, history, forecasts, records, extras, models, inference):
+for module in (problems, history, forecasts, records, extras, models, inference, intake):
     for name, f in module.R.queries.items():
         REGISTRY.query(name, module.R.oracles.get(name))(f)

@@ -149,13 +149,17 @@ def low_score_cells(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(c.select("match_id", *[F.get("c", F.lit(k)).alias(n) for k, n in enumerate(("p00", "p10", "p01", "p11"))]))
 
 
-@R.query("distribution_checks")
+CHECKS_SQL = f"WITH {strength_sql(LEAD)}, {GRID_SQL}, d AS (SELECT match_id, [" + ", ".join(f"sum(p) FILTER (i + j = {k}) / sum(p)" for k in range(6)) + ", sum(p) FILTER (i + j > 5) / sum(p)] AS d, [" + ", ".join(f"sum(p) FILTER (i + j > {k}) / sum(p)" for k in range(5)) + "] AS o FROM g GROUP BY 1) SELECT count(*) AS matches, count(*) FILTER (abs(list_sum(d) - 1) > 1e-6 OR list_min(d) < -1e-6) AS bad_sums, count(*) FILTER (o[1] < o[2] - 1e-9 OR o[2] < o[3] - 1e-9 OR o[3] < o[4] - 1e-9 OR o[4] < o[5] - 1e-9) AS bad_orders, count(*) FILTER (" + " OR ".join(f"abs(o[{k + 1}] - list_sum(d[{k + 2}:])) > 1e-6" for k in range(5)) + ") AS bad_tails FROM d"
+
+
+@R.query("distribution_checks", CHECKS_SQL)
 def distribution_checks(spark: SparkSession, sf: str) -> DataFrame:
     """Matches whose distributions break a rule: sums to one, overs fall with the line, overs equal tail sums."""
     d = predictions(spark, sf).select("match_id", grid.total_distribution(F.col("h"), F.col("a")).alias("d"))
-    overs = F.array(*[grid.over_probability(F.col("d"), x + 0.5) for x in range(5)])
-    checks = d.select("match_id", (~grid.is_distribution(F.col("d"))).alias("bad_sum"), (~grid.is_non_increasing(overs)).alias("bad_order"))
-    return checks.agg(F.count(F.lit(1)).alias("matches"), F.count_if("bad_sum").alias("bad_sums"), F.count_if("bad_order").alias("bad_orders"))
+    d = d.withColumn("o", F.array(*[grid.over_probability(F.col("d"), x + 0.5) for x in range(5)]))
+    tails = [F.abs(F.get("o", F.lit(k)) - F.aggregate(F.slice("d", k + 2, 7), F.lit(0.0), lambda s, x: s + x)) > 1e-6 for k in range(5)]
+    checks = d.select((~grid.is_distribution(F.col("d"))).alias("bad_sum"), (~grid.is_non_increasing(F.col("o"))).alias("bad_order"), F.greatest(*tails).alias("bad_tail"))
+    return checks.agg(F.count(F.lit(1)).alias("matches"), F.count_if("bad_sum").alias("bad_sums"), F.count_if("bad_order").alias("bad_orders"), F.count_if("bad_tail").alias("bad_tails"))
 
 
 @R.query("naive_frequencies", f"WITH {MATCHES_SQL} SELECT league, count(*) AS n, round(avg(CAST(gh > ga AS INT)), 6) AS home, round(avg(CAST(gh = ga AS INT)), 6) AS draw, round(avg(CAST(gh < ga AS INT)), 6) AS away FROM matches WHERE known <= {AT} GROUP BY 1")
@@ -193,16 +197,3 @@ def sequential_gamma_online(spark: SparkSession, sf: str) -> DataFrame:
 @R.query("low_score_rho")
 def low_score_rho(spark: SparkSession, sf: str) -> DataFrame:
     return strength.fit_low_score_rho(rated(spark, sf))
-
-
-@R.query("model_blend")
-def model_blend(spark: SparkSession, sf: str) -> DataFrame:
-    """1X2 of the goal and the expected-goal model, blended by how far they disagree (total variation)."""
-    def triple(df: DataFrame, name: str) -> DataFrame:
-        o = grid.outcome_probabilities(grid.pmf(F.col("lam")), grid.pmf(F.col("mu")))
-        return df.where("lam is not null").select("match_id", o.alias("o")).select("match_id", F.array("o.home", "o.draw", "o.away").alias(name))
-
-    both = triple(rated(spark, sf), "g").join(triple(rated(spark, sf, "xh", "xa", "xg_known"), "x"), "match_id")
-    w = grid.total_variation(F.col("g"), F.col("x"))
-    blend = both.withColumn("w", w).withColumn("b", F.zip_with("g", "x", lambda p, q: (1 - F.col("w")) * p + F.col("w") * q))
-    return rounded(blend.select("match_id", F.col("w").alias("disagreement"), *[F.get("b", F.lit(i)).alias(n) for i, n in enumerate(("home", "draw", "away"))]))

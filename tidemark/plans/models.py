@@ -101,6 +101,19 @@ def walk_forward_models(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(walk_forward(spark, sf).select("match_id", "model", *three("p")))
 
 
+@R.query("model_blend", f"WITH {MODELS_SQL} SELECT match_id, round(w, 6) AS disagreement, round(home, 6) AS home, round(draw, 6) AS draw, round(away, 6) AS away FROM ml JOIN tv USING (match_id) WHERE model = 'gap_blend'")
+def model_blend(spark: SparkSession, sf: str) -> DataFrame:
+    """1X2 of the goal and the expected-goal model, blended by how far they disagree (total variation)."""
+    def triple(df: DataFrame, name: str) -> DataFrame:
+        o = grid.outcome_probabilities(grid.pmf(F.col("lam")), grid.pmf(F.col("mu")))
+        return df.where("lam is not null").select("match_id", o.alias("o")).select("match_id", F.array("o.home", "o.draw", "o.away").alias(name))
+
+    both = triple(rated(spark, sf), "g").join(triple(rated(spark, sf, "xh", "xa", "xg_known"), "x"), "match_id")
+    w = grid.total_variation(F.col("g"), F.col("x"))
+    blend = both.withColumn("w", w).withColumn("b", F.zip_with("g", "x", lambda p, q: (1 - F.col("w")) * p + F.col("w") * q))
+    return rounded(blend.select("match_id", F.col("w").alias("disagreement"), *[F.get("b", F.lit(i)).alias(n) for i, n in enumerate(("home", "draw", "away"))]))
+
+
 SCORED_SQL = f"{MODELS_SQL}, sc AS (SELECT match_id, model, pow(home - CAST(gh > ga AS INT), 2) + pow(draw - CAST(gh = ga AS INT), 2) + pow(away - CAST(gh < ga AS INT), 2) AS brier, -ln(least(greatest(CASE WHEN gh > ga THEN home WHEN gh = ga THEN draw ELSE away END, 1e-12), 1)) AS log_loss FROM ml JOIN (SELECT match_id, gh, ga FROM matches) mm USING (match_id))"
 
 

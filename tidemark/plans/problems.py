@@ -177,6 +177,20 @@ def p3_window_features(spark: SparkSession, sf: str) -> DataFrame:
     return features.as_of_features(trade_history(spark, sf), "wallet_id", "action_code", FEATURES_UNTIL, P3_WINDOWS).drop("last_at")
 
 
+#: Day from which on `p3_extended` takes the events as new ones.
+NEW_FROM = "2027-01-01"
+
+
+@R.query("p3_extended", P3_SQL)
+def p3_extended(spark: SparkSession, sf: str) -> DataFrame:
+    """p3_found read off a stored table: cumulated to a day, written, extended by the days after it, without reading old events again."""
+    days = features.daily(distinct_trades(spark, sf), "wallet_id", "action_code", "timestamp_utc", "milli")
+    stored = cut(features.cumulative(days.where(F.col("day") < NEW_FROM), "wallet_id", "action_code"))
+    store = features.extended(stored, days.where(F.col("day") >= NEW_FROM), "wallet_id", "action_code")
+    f = features.as_of_features(store, "wallet_id", "action_code", FEATURES_UNTIL, {"all": None})
+    return f.select("wallet_id", "action_code", F.col("n_all").alias("n_trades"), F.col("total_all").alias("notional_milli"), days_before(FEATURES_UNTIL))
+
+
 @R.query("p3_wallet_rows")
 def p3_wallet_rows(spark: SparkSession, sf: str) -> DataFrame:
     """One row per wallet: a map from event type to its count, total and recency."""
@@ -213,7 +227,15 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-@R.query("p4_trades_with_stats")
+P4_STATS_SQL = """
+WITH lg AS (SELECT lower(trim(wallet_id)) AS e, known_at AS k, max(row(as_of, known_at, stat_id)) OVER (PARTITION BY lower(trim(wallet_id)) ORDER BY known_at RANGE UNBOUNDED PRECEDING) AS best FROM trader_stats_asof WHERE as_of IS NOT NULL AND known_at IS NOT NULL),
+lu AS (SELECT DISTINCT e, k, best[3] AS stat_id FROM lg),
+st AS (SELECT DISTINCT ON (stat_id) stat_id, n_trades, n_resolved_trades, volume_notional, realized_pnl, win_rate, open_position_count FROM trader_stats_asof)
+SELECT t.row_id, t.timestamp_utc, t.market_id, t.notional, st.* FROM trades t ASOF JOIN lu ON lower(trim(t.wallet_id)) = lu.e AND t.timestamp_utc >= lu.k JOIN st USING (stat_id)
+"""
+
+
+@R.query("p4_trades_with_stats", P4_STATS_SQL)
 def p4_trades_with_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Every trade of a wallet with the statistics then known (NULL values where the version has none)."""
     trades = table(spark, sf, "trades").withColumn("who", norm_key(F.col("wallet_id")))

@@ -199,7 +199,7 @@ def embedded_json_pages(spark: SparkSession, sf: str) -> DataFrame:
 @R.query("calendar_files")
 def calendar_files(spark: SparkSession, sf: str) -> DataFrame:
     """Fixtures written as text calendars, one per competition, and parsed back with their exclusions."""
-    f = table(spark, sf, "future_fixtures").where("competition is not null").select("competition", "fixture_date", "home_team_openfootball", "away_team_openfootball", "home_goals", "away_goals", "fixture_id")
+    f = table(spark, sf, "future_fixtures").select("competition", "fixture_date", "home_team_openfootball", "away_team_openfootball", "home_goals", "away_goals", "fixture_id")
     return calendars.parse(calendars.render(f))
 
 
