@@ -65,7 +65,7 @@ def test_snapshot_changes_match_brute_force(spark):
                 data.append((feed, n, "5", t + timedelta(days=n, hours=copy), 9999, "late row", "e"))
     data += [(None, 1, "1", t, 1, "x", ""), ("a", 1, None, t, 1, "x", ""), ("a", None, "1", t, 1, "x", "")]
     df = spark.createDataFrame(data, SNAP)
-    got = snapshots.snapshot_changes(df, snapshots.SnapshotSpec(), [F.col("v")], blocks=3)
+    got = snapshots.snapshot_changes(df, snapshots.SnapshotSpec(block_rows=60), [F.col("v")])
     assert rows(got) == brute_changes(data)
 
 
@@ -77,13 +77,32 @@ def test_snapshot_of_empty_table(spark):
 def test_equal_chunks_are_discarded(spark):
     t = datetime(2026, 1, 1)
     data = [("a", n, f"k{i}", t + timedelta(days=n), i, "same", "") for n in (1, 2) for i in range(500)]
-    spec = snapshots.SnapshotSpec()
-    c = snapshots.chunked(snapshots.effective_rows(spark.createDataFrame(data, SNAP), spec, [F.col("v")]), spec, 4)
-    digests = c.select("n", "b", "d1", "d2").distinct()
-    assert digests.groupBy("b", "d1", "d2").count().where("count <> 2").count() == 0
+    spec = snapshots.SnapshotSpec(block_rows=125)
+    delivered = snapshots.delivered_rows(spark.createDataFrame(data, SNAP), spec, [F.col("v")])
+    arrived = snapshots.arrivals(delivered, spec)
+    assert {r["blocks"] for r in arrived.collect()} == {4}
+    c = snapshots.chunked(snapshots.effective_rows(delivered, arrived), spec)
+    digests = c.groupBy("n", "b", "chunk").agg(F.bit_xor(F.xxhash64("k", "c1")).alias("d"))
+    assert digests.groupBy("b", "d").count().where("count <> 2").count() == 0
     assert digests.count() > 20
 
 
+def test_a_feed_that_holds_most_rows_is_cut_into_bounded_blocks(spark):
+    t = datetime(2026, 1, 1)
+    data = [("big", n, f"k{i}", t, i, "v", "") for n in (1, 2) for i in range(3000)] + [("small", 1, f"k{i}", t, i, "v", "") for i in range(20)]
+    spec = snapshots.SnapshotSpec(block_rows=200)
+    delivered = snapshots.delivered_rows(spark.createDataFrame(data, SNAP), spec, [F.col("v")])
+    c = snapshots.chunked(snapshots.effective_rows(delivered, snapshots.arrivals(delivered, spec)), spec)
+    assert max(r["count"] for r in c.groupBy("g", "n", "b").count().collect()) < 300
+
+
+def test_a_delivery_without_any_key_counts_as_an_empty_snapshot(spark):
+    t = datetime(2026, 1, 1)
+    data = [("a", 1, "x", t, 1, "v", ""), ("a", 2, None, t, 1, "v", ""), ("a", 3, "x", t, 1, "v", ""), ("a", 3, None, t + timedelta(days=1), 1, "v", "")]
+    got = snapshots.snapshot_changes(spark.createDataFrame(data, SNAP), snapshots.SnapshotSpec(), [F.col("v")])
+    assert rows(got) == [("a", 2, "x", "removed")]
+
+
 # -- timestamps ------------------------------------------------------------------------------------
 
 UTC = "UTC"
