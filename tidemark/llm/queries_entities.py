@@ -22,5 +22,5 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.query("p6_confidence")
 def p6_confidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Each market's best match with its cosine, cost and calibrated confidence."""
-    return entities.calibrated(best_matches(spark, sf)).where("accepted").select("match_id", "market_id", "cosine", "cost", "confidence")
+    """Each market's best match with its cosine, score and calibrated confidence."""
+    return best_matches(spark, sf).where("accepted").select("match_id", "market_id", "cosine", "score", "confidence")
