@@ -204,3 +204,11 @@ def test_weights_are_learned_from_anchored_pairs(spark):
     assert w["resolved"]["after"] > 1 and w["title"]["none"] == 0.0
     empty = entities.learned_weights(spark.createDataFrame([], cols))
     assert empty["title"]["same_day"] > 2 > 0 > empty["title"]["far"]
+
+
+def test_club_words_come_from_the_list_of_clubs(spark):
+    clubs = spark.createDataFrame([(1, "Zorbing Heskumouth", "HSK", "a_1", "Heskumouth"), (2, "Heskumouth Rovers", "HRO", "a_1", "Heskumouth"), (3, "FC Wenluden", "WEN", "a_1", "Wenluden")], "club_id long, club_name string, short_title string, competition string, town string")
+    assert clubnames.club_vocabulary(clubs) == ("rovers", "zorbing")
+    typed = spark.createDataFrame([("Heskumouth Zorbing", None), ("Rov. Heskumouth", None), ("Heskumouth", None), ("wenludn", "a_1")], "name string, competition string")
+    got = {r["name"]: r["club_id"] for r in clubnames.match_clubs(typed, clubs).collect()}
+    assert got == {"Heskumouth Zorbing": 1, "Rov. Heskumouth": 2, "Heskumouth": 0, "wenludn": 3}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,10 +16,13 @@ from tidemark.llm.setjoin import bigram_set, similarity_join
 from tidemark.llm.textfold import damerau, fold, is_short_form
 from tidemark.session import cut
 
-#: Words of club names in the list's four languages, as folded.
-CLUB_WORDS = "united rovers wanderers county albion town athletic city olympique racing etoile stade us as fortuna sv concordia viktoria eintracht tsv real union deportivo sporting atletico cd ud".split()
+#: Words of club names in four languages, as folded, for tables without a list of clubs and their towns.
+CLUB_WORDS = (
+    "united", "rovers", "wanderers", "county", "albion", "town", "athletic", "city", "olympique", "racing", "etoile", "stade", "us", "as",
+    "fortuna", "sv", "concordia", "viktoria", "eintracht", "tsv", "real", "union", "deportivo", "sporting", "atletico", "cd", "ud",
+)
 #: Words that say no more than that it is a club, or what the text adds about the match.
-NOISE_WORDS = "fc afc cf sc club f.c n 1 h the de la le el cfc".split()
+NOISE_WORDS = ("fc", "afc", "cf", "sc", "club", "f.c", "n", "1", "h", "the", "de", "la", "le", "el", "cfc")
 #: Words that name another side of the club than its first men's team.
 OTHER_SIDE = re.compile(
     r"\b(u ?\d\d|under ?\d\d|ii|iii|2|3|b|c2|w|women|womens|ladies|fem|feminin|feminine|feminines|femenino|femenina|frauen|damen|girls|"
@@ -37,8 +41,9 @@ def squash(s: str) -> str:
     return s
 
 
-def parse_name(text: str | None) -> tuple[str, list[str], bool]:
+def parse_name(text: str | None, club_words: tuple[str, ...] = CLUB_WORDS) -> tuple[str, list[str], bool]:
     """(town letters, club words in any short form, names another side) of a typed name."""
+    is_word = lambda w: _is_club_word(w, club_words)
     s = fold(text or "").replace("'", "").replace("’", "").replace(".", "").replace("…", " ")
     s = BRACKETED.sub(" ", s)
     s = re.sub(r"(?<=[a-z])-(?=[a-z])", "~", s)
@@ -48,24 +53,45 @@ def parse_name(text: str | None) -> tuple[str, list[str], bool]:
     for chunk in s.split():
         parts = chunk.split("~")
         # A hyphen joins name parts, or is a slip inside one word.
-        joined = len(parts) > 1 and not any(p in CLUB_WORDS or p in NOISE_WORDS or (_is_club_word(p) and i in (0, len(parts) - 1) and max(map(len, parts)) > 7) for i, p in enumerate(parts))
+        joined = len(parts) > 1 and not any(p in club_words or p in NOISE_WORDS or (is_word(p) and i in (0, len(parts) - 1) and max(map(len, parts)) > 7) for i, p in enumerate(parts))
         for w in ["".join(parts)] if joined else parts:
             if w in NOISE_WORDS or not w:
                 continue
-            (words if _is_club_word(w) else rest).append(w)
+            (words if is_word(w) else rest).append(w)
     if not rest and words:
         rest, words = words, []
     return "".join(rest), words, other
 
 
-def _is_club_word(w: str) -> bool:
-    return w in CLUB_WORDS or any(is_short_form(w, c) for c in CLUB_WORDS if len(w) <= 5 or damerau(w, c, 2) <= 2)
+@lru_cache(100_000)
+def _is_club_word(w: str, club_words: tuple[str, ...]) -> bool:
+    return w in club_words or any(is_short_form(w, c) for c in club_words if len(w) <= 5 or damerau(w, c, 2) <= 2)
 
 
-@F.pandas_udf(PARSED)
-def parse_names(names: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in names:
-        yield pd.DataFrame([parse_name(x) for x in batch], columns=["town", "words", "other"])
+def name_parser(club_words: tuple[str, ...] = CLUB_WORDS):  # noqa: ANN201
+    """Column function that parses names with the given words of clubs."""
+
+    @F.pandas_udf(PARSED)
+    def parse(names: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in names:
+            yield pd.DataFrame([parse_name(x, club_words) for x in batch], columns=["town", "words", "other"])
+
+    return parse
+
+
+parse_names = name_parser()
+
+
+def club_vocabulary(clubs: DataFrame) -> tuple[str, ...]:
+    """The words by which clubs of a list call themselves beside their town, as folded.
+
+    The list has one row per club of the target list and goes to the driver.
+    """
+    words: set[str] = set()
+    for r in clubs.select("club_name", "town").distinct().collect():
+        split = lambda t: set(re.sub(r"[^a-z0-9]+", " ", fold(t or "").replace(".", "").replace("'", "")).split())
+        words |= split(r["club_name"]) - split(r["town"]) - set(NOISE_WORDS)
+    return tuple(sorted(words))
 
 
 def town_distance(typed: str, town: str) -> tuple[int, int] | None:
@@ -76,6 +102,7 @@ def town_distance(typed: str, town: str) -> tuple[int, int] | None:
     return min((d for d in (plain, _town_distance(squash(typed), squash(town))) if d is not None), default=None)
 
 
+@lru_cache(200_000)
 def _town_distance(typed: str, town: str) -> tuple[int, int] | None:
     n = len(typed)
     # The longer a name, the more slips it survives without becoming another.
@@ -169,9 +196,9 @@ def judge_pairs(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Seri
         yield pd.Series([judge(t, list(w), a, bool(k), list(c)) for t, w, a, k, c in zip(*batch, strict=True)], dtype="Int32")
 
 
-def club_aliases(clubs: DataFrame) -> DataFrame:
+def club_aliases(clubs: DataFrame, parse=parse_names) -> DataFrame:  # noqa: ANN001
     """Per club its town and its short title as texts to match: alias_id, club_id, alias, is_code, club_words, competition."""
-    town = clubs.select("club_id", parse_names("town").alias("t"), parse_names("club_name").alias("n"), F.lower("short_title").alias("code"), F.lower(F.trim("competition")).alias("club_competition"))
+    town = clubs.select("club_id", parse("town").alias("t"), parse("club_name").alias("n"), F.lower("short_title").alias("code"), F.lower(F.trim("competition")).alias("club_competition"))
     words = F.col("n.words")
     names = town.select("club_id", F.col("t.town").alias("alias"), F.lit(False).alias("is_code"), words.alias("club_words"), "club_competition")
     codes = town.where("code is not null").select("club_id", F.col("code").alias("alias"), F.lit(True).alias("is_code"), words.alias("club_words"), "club_competition")
@@ -186,8 +213,9 @@ def match_clubs(typed: DataFrame, clubs: DataFrame, threshold: float = 0.3) -> D
     that cost are told apart by the competition of the row, else the name stays
     unresolved.  Names of another side, of no club, blank or NULL give 0.
     """
-    parsed = cut(typed.select("name", "competition", parse_names("name").alias("p")))
-    aliases = cut(club_aliases(clubs))
+    parse = name_parser(club_vocabulary(clubs))
+    parsed = cut(typed.select("name", "competition", parse("name").alias("p")))
+    aliases = cut(club_aliases(clubs, parse))
     # The length filter of the join, ahead of it: a longer text cannot reach the threshold with any alias.
     longest = F.coalesce(aliases.agg(F.max(F.length("alias"))).scalar(), F.lit(0)) / threshold
     towns = parsed.where("not p.other and p.town <> ''").select(F.col("p.town").alias("town")).where(F.length("town") <= longest).distinct().withColumn("tokens", bigram_set(F.col("town")))
