@@ -218,12 +218,13 @@ def match_clubs(typed: DataFrame, clubs: DataFrame, threshold: float = 0.3) -> D
     aliases = cut(club_aliases(clubs, parse))
     # The length filter of the join, ahead of it: a longer text cannot reach the threshold with any alias.
     longest = F.coalesce(aliases.agg(F.max(F.length("alias"))).scalar(), F.lit(0)) / threshold
-    towns = parsed.where("not p.other and p.town <> ''").select(F.col("p.town").alias("town")).where(F.length("town") <= longest).distinct().withColumn("tokens", bigram_set(F.col("town")))
+    towns = cut(parsed.where("not p.other and p.town <> ''").select(F.col("p.town").alias("town")).where(F.length("town") <= longest).distinct().withColumn("tokens", bigram_set(F.col("town"))))
     right = aliases.select("alias_id", bigram_set(F.col("alias")).alias("tokens"))
     near = similarity_join(towns, right, "town", "alias_id", threshold)
     # Names whose slips leave them below the threshold, and short beginnings of long towns: all other pairs that the exact check can accept.
-    overlap = F.size(F.array_intersect(bigram_set(F.col("town")), bigram_set(F.col("alias"))))
-    below = letter_pairs(towns, aliases).join(aliases.select("alias_id", "alias"), "alias_id").withColumn("jaccard", overlap / (F.length("town") + F.length("alias") - overlap))
+    sets = aliases.select("alias_id", F.length("alias").alias("_n"), bigram_set(F.col("alias")).alias("_r"))
+    overlap = F.size(F.array_intersect("_l", "_r"))
+    below = letter_pairs(towns, aliases).join(sets, "alias_id").join(towns.withColumnRenamed("tokens", "_l"), "town").withColumn("jaccard", overlap / (F.length("town") + F.col("_n") - overlap))
     near = near.unionByName(below.where(F.col("jaccard") < threshold - 1e-9).select("town", "alias_id", "jaccard")).join(aliases, "alias_id")
     flat = parsed.where("not p.other").select("name", "competition", F.col("p.town").alias("town"), F.col("p.words").alias("words"))
     cands = flat.join(near, "town").withColumn("cost", judge_pairs("town", "words", "alias", "is_code", "club_words")).where("cost is not null")
