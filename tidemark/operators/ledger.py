@@ -27,33 +27,23 @@ def path_metrics(path: DataFrame, key: list[str], order: list[str], start: float
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("bets"), F.max_by("balance", "_order").alias("final_balance"), (F.max_by("balance", "_order") / start - 1).alias("total_return"), F.min("drawdown").alias("max_drawdown"), F.stddev_pop("_step").alias("volatility"), F.avg("_won").alias("win_rate"))
 
 
-def compounded(bets: DataFrame, key: list[str], order: list[str], factor: Column, start: float) -> DataFrame:
-    """Add the balance when each bet multiplies it by a positive factor: the exponential of a running sum of logs."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return bets.withColumn("balance", F.lit(start) * F.exp(F.sum(F.ln(factor)).over(w)))
-
-
 SIM = T.StructType([T.StructField("sim", T.LongType()), T.StructField("strategy", T.StringType()), T.StructField("final_balance", T.DoubleType()), T.StructField("max_drawdown", T.DoubleType()), T.StructField("ruined", T.BooleanType())])
 
 
 def simulate_paths(spark, sims: int, bets: int, p: float, price: float, start: float = 100.0, flat: float = 1.0, fraction: float = 0.02, seed: int = 42) -> DataFrame:  # noqa: ANN001
-    """Final balances of flat and proportional stakes on the same simulated outcomes, one seed per path."""
+    """Final balances of flat and proportional stakes on the same simulated outcomes, one seed per path; all paths of a batch step together."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for sim in pdf["id"]:
-                won = np.random.default_rng([seed, int(sim)]).random(bets) < p
-                for name in ("flat", "proportional"):
-                    balance = peak = start
-                    worst = 0.0
-                    for hit in won:
-                        stake = min(max(flat if name == "flat" else balance * fraction, 0.0), balance)
-                        balance += stake * (price - 1) if hit else -stake
-                        peak = max(peak, balance)
-                        worst = min(worst, balance / peak - 1)
-                    out.append((int(sim), name, float(balance), worst, balance <= 0))
-            yield pd.DataFrame(out, columns=[f.name for f in SIM.fields])
+            won = np.array([np.random.default_rng([seed, int(sim)]).random(bets) < p for sim in pdf["id"]]).reshape(len(pdf), bets)
+            for name in ("flat", "proportional"):
+                balance, peak, worst = (np.full(len(pdf), x) for x in (start, start, 0.0))
+                for k in range(bets):
+                    stake = np.clip(flat if name == "flat" else balance * fraction, 0.0, balance)
+                    balance = balance + np.where(won[:, k], stake * (price - 1), -stake)
+                    peak = np.maximum(peak, balance)
+                    worst = np.minimum(worst, balance / peak - 1)
+                yield pd.DataFrame({"sim": pdf["id"].to_numpy(), "strategy": name, "final_balance": balance, "max_drawdown": worst, "ruined": balance <= 0})
 
     return spark.range(sims).mapInPandas(run, SIM)
 

@@ -60,9 +60,10 @@ def scd2_lookup(events: DataFrame, windows: DataFrame, key: str, day: Column, pa
     on key and month with the exact day test behind it.
     """
     month = lambda c: F.year(c) * 12 + F.month(c)
-    ev = events.withColumns({"_day": day, "_ev": F.monotonically_increasing_id()})
-    end = F.least(F.col("valid_to"), F.lit("2100-01-01").cast("date"))
-    w = windows.withColumn("_month", F.explode(F.sequence(month(F.col("valid_from")), month(end)))).select(F.col(key).alias("_key"), "_month", "valid_from", "valid_to", F.struct(*payload).alias("_p"))
+    ev = events.withColumn("_day", day)
+    # Windows that are still open are spread no further than the last event.
+    end = F.least(F.col("valid_to"), ev.agg(F.max("_day")).scalar())
+    w = windows.where(F.col("valid_from") <= end).withColumn("_month", F.explode(F.sequence(month(F.col("valid_from")), month(end)))).select(F.col(key).alias("_key"), "_month", "valid_from", "valid_to", F.struct(*payload).alias("_p"))
     hit = ev.join(w, (F.col(key) == F.col("_key")) & (month(F.col("_day")) == F.col("_month")) & F.col("_day").between(F.col("valid_from"), F.col("valid_to")), "left")
     return hit.select(*events.columns, *[F.col(f"_p.{c}").alias(c) for c in payload])
 
